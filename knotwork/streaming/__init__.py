@@ -1,0 +1 @@
+"""Intentionally empty: the workload is batch only, every input is a finished file or table."""
