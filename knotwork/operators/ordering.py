@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork.functions.scalars import stable_hash
+from knotwork.operators.skew import attach_row
 from knotwork.session import cut
 
 # Hex digits of the hash that name a slice: 65536 slices for each group.
@@ -96,7 +97,7 @@ def grouped_quantiles(
     counted = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
     placed = running_total(counted, group, [value], "_n", "_first")
     sizes = counted.groupBy(*group).agg(F.sum("_n").alias("_size"))
-    joined = placed.join(sizes, list(group)) if group else placed.crossJoin(F.broadcast(sizes))
+    joined = placed.join(sizes, list(group)) if group else attach_row(placed, sizes)
     last = F.col("_first") + F.col("_n") - 1
 
     def at(place: Column) -> Column:

@@ -13,6 +13,24 @@ HOT_ROWS = 1_000_000
 SALTS = 64
 
 
+def hot_keys(rows: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with more than ``hot_rows`` rows, counted with partial sums."""
+    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    return counts.filter(F.col("_rows") > hot_rows).select(*on, F.lit(True).alias("_hot"))
+
+
+def spread(rows: DataFrame, on: Sequence[str], hot: DataFrame, salts: int = SALTS) -> DataFrame:
+    """Adds ``_salt``: rows of a hot key get a hash of the whole row, so a retried task repeats it."""
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")).otherwise(0)
+    return rows.join(F.broadcast(hot), list(on), "left").withColumn("_salt", salt).drop("_hot")
+
+
+def copies(rows: DataFrame, on: Sequence[str], hot: DataFrame, salts: int = SALTS) -> DataFrame:
+    """The other side: one copy per salt for hot keys, one row for the rest."""
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return rows.join(F.broadcast(hot), list(on), "left").withColumn("_salt", F.explode(every)).drop("_hot")
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,
@@ -23,18 +41,15 @@ def salted_join(
 ) -> DataFrame:
     """Equi-join that spreads the left rows of each hot key over ``salts`` tasks.
 
-    Right rows of hot keys are copied once for each salt; all other rows join as usual. The salt
-    is a hash of the whole left row, so a retried task sends every row to the same place.
+    Right rows of hot keys are copied once for each salt; all other rows join as usual.
     """
     keys = list(on)
-    hot = F.broadcast(
-        left.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > hot_rows)
-        .select(*keys, F.lit(True).alias("_hot"))
-    )
-    spread = F.when(F.col("_hot"), F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")).otherwise(0)
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_left = left.join(hot, keys, "left").withColumn("_salt", spread).drop("_hot")
-    salted_right = right.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
+    hot = hot_keys(left, keys, hot_rows)
+    a, b = spread(left, keys, hot, salts), copies(right, keys, hot, salts)
+    return a.join(b, [*keys, "_salt"], how).drop("_salt")
+
+
+def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """The columns of a one-row table next to every row; only that one row is broadcast."""
+    single = F.broadcast(row.limit(1).withColumn("_one", F.lit(1)))
+    return df.withColumn("_one", F.lit(1)).join(single, "_one").drop("_one")

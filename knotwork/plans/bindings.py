@@ -102,16 +102,52 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:
-    """key, y, score: length of a labelled document against its quality, ties included."""
-    documents = table(spark, folder, "documents").select("doc_id", "n_chars")
+    """key, y, toxic, lang, score: length of a labelled document against its quality, ties included."""
+    documents = table(spark, folder, "documents").select("doc_id", "lang", "n_chars")
+    hundreds = F.floor(F.col("n_chars") / 100)
     return (
         table(spark, folder, "labels")
         .join(documents, "doc_id")
         .select(
             F.col("doc_id").alias("key"),
             F.col("quality").alias("y"),
-            F.col("toxic"),
-            (F.floor(F.col("n_chars") / 100) / (F.floor(F.col("n_chars") / 100) + 10)).alias("score"),
+            "toxic",
+            "lang",
+            (hundreds / (hundreds + 10)).alias("score"),
+        )
+    )
+
+
+def customer_features(spark: SparkSession, folder: str) -> DataFrame:
+    """key, y and two raw columns."""
+    return table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("key"),
+        (F.col("c_mktsegment") == "BUILDING").cast("int").alias("y"),
+        F.col("c_acctbal").alias("balance"),
+        F.col("c_nationkey").cast("double").alias("nation"),
+    )
+
+
+def supplier_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Clusters for the keys that are also suppliers; the others have none."""
+    nation = F.col("s_nationkey")
+    return table(spark, folder, "supplier").select(
+        F.col("s_suppkey").alias("key"),
+        (nation % 5).alias("community"),
+        F.when(nation % 7 == 6, -1).otherwise(nation % 7).alias("density_cluster"),
+    )
+
+
+def order_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Rule features of customers with orders: number of orders, number of urgent ones, and a text."""
+    urgent = F.startswith(F.col("o_orderpriority"), F.lit("1"))
+    return (
+        table(spark, folder, "orders")
+        .groupBy(F.col("o_custkey").alias("key"))
+        .agg(
+            F.count(F.lit(1)).cast("string").alias("orders"),
+            F.when(F.count_if(urgent) > 0, F.count_if(urgent).cast("string")).otherwise("none").alias("urgent"),
+            F.min("o_orderstatus").alias("status"),
         )
     )
 
@@ -149,11 +185,29 @@ VECTORS_SQL = """
  SELECT vec_id AS key, CAST(embedding AS DOUBLE[]) AS vec, label, CAST(label < 5 AS INTEGER) AS y FROM embeddings"""
 
 SCORED_SQL = """
- SELECT doc_id AS key, quality AS y, toxic, (n_chars // 100) / ((n_chars // 100) + 10) AS score
+ SELECT doc_id AS key, quality AS y, toxic, lang, (n_chars // 100) / ((n_chars // 100) + 10) AS score
  FROM labels JOIN documents USING (doc_id)"""
 
 
+FEATURES_SQL = """
+ SELECT c_custkey AS key, CAST(c_mktsegment = 'BUILDING' AS INTEGER) AS y, c_acctbal AS balance, CAST(c_nationkey AS DOUBLE) AS nation FROM customer"""
+
+SUPPLIER_CLUSTERS_SQL = """
+ SELECT s_suppkey AS key, s_nationkey % 5 AS community, CASE WHEN s_nationkey % 7 = 6 THEN -1 ELSE s_nationkey % 7 END AS density_cluster FROM supplier"""
+
+RULES_SQL = """
+ SELECT o_custkey AS key, CAST(count(*) AS DOUBLE) AS orders, CAST(count_if(starts_with(o_orderpriority, '1')) AS DOUBLE) AS urgent FROM orders GROUP BY o_custkey"""
+
+
 def with_tables(*names: str) -> str:
     """WITH clause for the named bindings."""
-    texts = {"kg": KG_SQL, "clusters": CLUSTERS_SQL, "vectors": VECTORS_SQL, "scored": SCORED_SQL}
+    texts = {
+        "kg": KG_SQL,
+        "clusters": CLUSTERS_SQL,
+        "vectors": VECTORS_SQL,
+        "scored": SCORED_SQL,
+        "features": FEATURES_SQL,
+        "supplier_clusters": SUPPLIER_CLUSTERS_SQL,
+        "rules": RULES_SQL,
+    }
     return "WITH " + ",\n".join(f"{name} AS ({texts[name]})" for name in names)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from knotwork.plans import triple_queries  # noqa: F401  (registers its queries)
+from knotwork.plans import feature_queries, graph_queries, triple_queries, vector_queries  # noqa: F401  (register)
 from knotwork.plans.registry import ORACLES, QUERIES, Query
 
 
