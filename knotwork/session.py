@@ -44,6 +44,26 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise on reliable storage, so that loops neither grow lineage nor lose state with an executor."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows to the shared folder and read them back.
+
+    Loops then neither grow lineage nor lose state with an executor. A written table also carries
+    its true size, while a checkpoint keeps the estimated size of the plan behind it, and those
+    estimates multiply from round to round.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, "state")
+    df.write.parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._knotwork_path = path
+    return written
+
+
+def renew(old: DataFrame | None, df: DataFrame) -> DataFrame:
+    """``cut`` for loop state: once the new state is written, the files of the old one are removed."""
+    new = cut(df)
+    path = getattr(old, "_knotwork_path", None)
+    if path:
+        spark = new.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return new
