@@ -38,13 +38,16 @@ def salted_join(
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
+    count_on: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join that spreads the left rows of each hot key over ``salts`` tasks.
 
-    Right rows of hot keys are copied once for each salt; all other rows join as usual.
+    Right rows of hot keys are copied once for each salt; all other rows join as usual. In a chain
+    of joins ``count_on`` names the table at its start, so that the chain is not run again to
+    count keys.
     """
     keys = list(on)
-    hot = hot_keys(left, keys, hot_rows)
+    hot = hot_keys(left if count_on is None else count_on, keys, hot_rows)
     a, b = spread(left, keys, hot, salts), copies(right, keys, hot, salts)
     return a.join(b, [*keys, "_salt"], how).drop("_salt")
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.functions import arrays
-from knotwork.operators.blocks import block_join, matrix, nearest_center, squared_distances, strips
+from knotwork.operators.blocks import block_join, list_column, matrix, nearest_center, squared_distances, strips
 from knotwork.operators.neighbors import knn
 from knotwork.operators.skew import attach_row
 
@@ -66,7 +66,7 @@ def pca(points: DataFrame, k: int, vec: str = "vec", out: str = "vec", fit_on: D
     def project(batches):
         for batch in batches:
             values = (matrix(batch.column(batch.schema.get_field_index(vec))) - centre_values) @ axes
-            column = pa.array(list(values), type=pa.list_(pa.float64()))
+            column = list_column(values)
             names = batch.schema.names
             columns = dict(zip(names, batch.columns)) | {out: column}
             yield pa.RecordBatch.from_arrays([columns[f] for f in schema.names], names=schema.names)

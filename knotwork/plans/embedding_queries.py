@@ -159,16 +159,12 @@ def _(spark, sf):
     return out.select(*[rounded(F.col(name)).alias(name) for name in HEADLINES])
 
 
-def _train(spark, sf, model, epochs):
-    entities, relations, coded = kge.encode_triples(graph_triples(spark, sf))
-    return entities, kge.train_kge(coded, model, dim=16, epochs=epochs)
-
-
 @query("train_kge")
 def _(spark, sf):
+    coded = cut(kge.encode_triples(graph_triples(spark, sf))[2])
     frames = []
     for model in ("transe", "rotate", "complex"):
-        _, (_, _, losses) = _train(spark, sf, model, 3)
+        _entities, _relations, losses = kge.train_kge(coded, model, dim=16, epochs=3)
         rows = [(model, epoch, float(loss)) for epoch, loss in enumerate(losses)]
         frames.append(spark.createDataFrame(rows, "model string, epoch int, loss double"))
     return reduce(DataFrame.unionByName, frames)
@@ -176,5 +172,6 @@ def _(spark, sf):
 
 @query("patient_vectors")
 def _(spark, sf):
-    names, (entities, _, _) = _train(spark, sf, "transe", 2)
+    names, _, coded = kge.encode_triples(graph_triples(spark, sf))
+    entities, _, _ = kge.train_kge(coded, "transe", dim=16, epochs=2)
     return kge.patient_vectors(names, entities)
