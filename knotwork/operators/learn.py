@@ -46,7 +46,7 @@ def _pipeline(estimator, scaled: bool = True) -> Fit:
     def fit(train: DataFrame) -> Score:
         source = "_scaled" if scaled else "_vector"
         stages = [StandardScaler(inputCol="_vector", outputCol="_scaled", withMean=True)] if scaled else []
-        clf = estimator(train).copy()
+        clf = estimator(train)
         names = {
             "featuresCol": source,
             "labelCol": "y",
@@ -93,8 +93,10 @@ def logistic(c: float = 1.0, max_iter: int = 3000) -> Fit:
 
 def forest(trees: int = 500, depth: int | None = None, leaf: int = 1, seed: int = 42) -> Fit:
     """Random forest. Trees do not depend on scale, so there is no scaler."""
-    clf = RandomForestClassifier(numTrees=trees, maxDepth=depth or DEEPEST, minInstancesPerNode=leaf, seed=seed)
-    return _pipeline(lambda train: clf, scaled=False)
+    return _pipeline(
+        lambda train: RandomForestClassifier(numTrees=trees, maxDepth=depth or DEEPEST, minInstancesPerNode=leaf, seed=seed),
+        scaled=False,
+    )
 
 
 def mlp(hidden: tuple[int, ...] = (128, 64), max_iter: int = 600, seed: int = 42) -> Fit:
@@ -108,10 +110,8 @@ def mlp(hidden: tuple[int, ...] = (128, 64), max_iter: int = 600, seed: int = 42
 def boosted(preset: str = "A", rounds: int | None = None, seed: int = 42) -> Fit:
     """Boosted trees under one of two presets."""
     default, rate, depth, rows, columns = BOOSTED_PRESETS[preset]
-    clf = GBTClassifier(
-        maxIter=rounds or default, stepSize=rate, maxDepth=depth, subsamplingRate=rows, featureSubsetStrategy=columns, seed=seed
-    )
-    return _pipeline(lambda train: clf, scaled=False)
+    options = {"stepSize": rate, "maxDepth": depth, "subsamplingRate": rows, "featureSubsetStrategy": columns}
+    return _pipeline(lambda train: GBTClassifier(maxIter=rounds or default, seed=seed, **options), scaled=False)
 
 
 def kernel_svm(c: float = 2.0, gamma: float | None = None, waves: int = 256, seed: int = 42, max_iter: int = 100) -> Fit:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from knotwork.functions.scalars import rounded
@@ -41,19 +42,27 @@ def _(spark, sf):
         out = F.replace(column, F.lit("&"), F.lit("&amp;"))
         return F.replace(F.replace(out, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
+    obj = text(F.col("obj"))
     name = F.when(F.endswith("pred", F.lit("#type")), "rdf:type").otherwise(F.concat(F.lit("ex:"), F.substring_index("pred", "#", -1)))
-    iri = F.concat(F.lit("<"), name, F.lit(' rdf:resource="'), text(F.col("obj")), F.lit('"/>'))
-    literal = F.concat(F.lit("<"), name, F.lit(">"), text(F.col("obj")), F.lit("</"), name, F.lit(">"))
-    kg = kg_triples(spark, sf).filter(F.contains("subj", F.lit("Patient_")))
+    iri = F.concat(F.lit("<"), name, F.lit(' rdf:resource="'), obj, F.lit('"/>'))
+    literal = F.concat(F.lit("<"), name, F.lit(">"), obj, F.lit("</"), name, F.lit(">"))
     element = F.when(F.col("obj_kind") == "iri", iri).otherwise(literal)
     # One block per triple: a subject may be described in several blocks.
-    head = ' xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:ex="http://example.org/kg#"'
-    block = F.concat(F.lit(f"<rdf:Description{head} rdf:about=\""), text(F.col("subj")), F.lit('">'), element, F.lit("</rdf:Description>"))
+    block = F.concat(F.lit('<rdf:Description rdf:about="'), text(F.col("subj")), F.lit('">'), element, F.lit("</rdf:Description>"))
+    lines = kg_triples(spark, sf).filter(F.contains("subj", F.lit("Patient_"))).select(block.alias("value"))
     path = scratch(spark, "rdfxml")
-    kg.select(block.alias("value")).write.text(path)
+    lines.mapInArrow(_document, lines.schema).write.text(path)
     return rdf.read_rdfxml(spark, path).select(*COLUMNS)
 
 
+def _document(batches):
+    """A root element around the blocks of each written file."""
+    head = f'<rdf:RDF xmlns:rdf="{rdf.RDF_NAMESPACE}" xmlns:ex="http://example.org/kg#">'
+    yield pa.RecordBatch.from_pydict({"value": [head]})
+    yield from batches
+    yield pa.RecordBatch.from_pydict({"value": ["</rdf:RDF>"]})
+
+
 TSV_SQL = f"{KG} SELECT subj AS head, pred AS relation, obj AS tail FROM kg WHERE {IRI}"
 
 
