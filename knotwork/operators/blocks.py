@@ -30,10 +30,10 @@ def matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def list_column(values: np.ndarray) -> pa.Array:
+def list_column(values: np.ndarray, kind=np.float64) -> pa.Array:
     """A 2-D array as an Arrow list column, without going through Python lists."""
     offsets = np.arange(0, values.size + 1, max(values.shape[1], 1), dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(values, dtype=np.float64).ravel()))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(values, dtype=kind).ravel()))
 
 
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
