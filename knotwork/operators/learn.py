@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from knotwork.operators.blocks import list_column, matrix
 from knotwork.operators.gated import GatedConfig, fit_gated
 from knotwork.operators.neighbors import knn
+from knotwork.operators.skew import salted_join
 from knotwork.operators.vectors import dimension, standardize
+from knotwork.session import cut
 
 Score = Callable[[DataFrame], DataFrame]
 Fit = Callable[[DataFrame], Score]
@@ -158,9 +160,9 @@ def nearest_vote(k: int = 7, scaled: bool = True) -> Fit:
             return ready.select("key", F.col("features").alias("vec"))
 
         def score(rows: DataFrame) -> DataFrame:
-            near = knn(points(train), k, points(rows), include_self=True)
+            near = cut(knn(points(train), k, points(rows), include_self=True))
             labels = train.select(F.col("key").alias("dst"), F.col("y").alias("_y"))
-            votes = near.join(labels, "dst").groupBy(F.col("src").alias("key")).agg(F.avg("_y").alias("probability"))
+            votes = salted_join(near, labels, ["dst"]).groupBy(F.col("src").alias("key")).agg(F.avg("_y").alias("probability"))
             return rows.join(votes, "key")
 
         return score

@@ -12,14 +12,17 @@ from pyspark.sql import functions as F
 
 from knotwork.functions.scalars import similarity_weight
 from knotwork.operators.blocks import BLOCK_ROWS, matrix, nearest_center, squared_distances, strips
+from knotwork.operators.skew import salted_join
 from knotwork.session import cut
 
 DEFAULT_K = 15
 # The cells of the space are a model that each task holds; their number has this bound.
 MAX_CELLS = 4_096
+# Vectors with more copies than this are searched once for all copies.
+COPY_LIMIT = 1_024
 
 
-def _shortlist(k: int, include_self: bool):
+def _shortlist(k: int, drop_self: bool):
     """Per cogroup: the k nearest base rows of each query row, by (distance, key)."""
 
     def work(queries: pa.Table, base: pa.Table) -> pa.Table:
@@ -31,7 +34,7 @@ def _shortlist(k: int, include_self: bool):
         base = base.sort_by("dst")
         q, b = matrix(queries.column("query_vec")), matrix(base.column("vec"))
         own = np.full(len(q), -1)
-        if not include_self:
+        if drop_self:
             own = pd.Index(base.column("dst").to_pandas()).get_indexer(queries.column("src").to_pandas())
         left, right, distance = [], [], []
         for strip in strips(len(q)):
@@ -105,22 +108,59 @@ def knn(
     include_self: bool = False,
     probes: int | None = None,
     block_rows: int = BLOCK_ROWS,
+    copy_limit: int = COPY_LIMIT,
 ) -> DataFrame:
     """src, dst, distance, place: the k nearest points of each query row, ties by key.
 
     ``points`` and ``queries`` have ``key`` and ``vec``; without queries the points are their own,
-    and k is kept between 2 and n - 1. The space is cut into cells around sampled pivots. Triangle
-    and half-plane bounds tell which cells can hold a neighbour, so the result is exact; ``probes``
-    visits only that many nearest cells and is then approximate. Cells larger than a block are
-    split, so a crowded region is many tasks, and each task returns at most k rows per query.
+    and k is kept between 2 and n - 1. If some vector has more than ``copy_limit`` copies, distinct
+    vectors are searched and every copy takes over the list of its vector.
+    """
+    itself = queries is None
+    points = points.select("key", "vec")
+    if itself:
+        k = min(max(2, k), max(points.count() - 1, 1))
+    asked = points if itself else queries.select("key", "vec")
+    sides = [points] if itself else [points, asked]
+    crowded = any(
+        side.groupBy("vec").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > copy_limit).take(1) for side in sides
+    )
+    if not crowded:
+        return _search(points, k, asked, itself and not include_self, probes, block_rows)
+    # The k + 1 least keys of a vector are all that a list can need; Spark keeps no more than
+    # that per vector and map task before the shuffle.
+    first = Window.partitionBy("vec").orderBy("key")
+    few = points.withColumn("_place", F.row_number().over(first)).filter(F.col("_place") <= k + 1)
+    single = cut(few.groupBy("vec").agg(F.min("key").alias("key"), F.sort_array(F.collect_list("key")).alias("_keys")))
+    wanted = single if itself else cut(asked.groupBy("vec").agg(F.min("key").alias("key")))
+    near = _search(single.select("key", "vec"), k + 1, wanted.select("key", "vec"), False, probes, block_rows)
+    keys = single.select(F.col("key").alias("dst"), "_keys")
+    each = salted_join(near, keys, ["dst"]).select("src", "distance", F.explode("_keys").alias("dst"))
+    order = Window.partitionBy("src").orderBy("distance", "dst")
+    each = each.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= k + 1)
+    lists = each.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("distance", "dst"))).alias("_list"))
+    by_vector = cut(wanted.select("vec", F.col("key").alias("src")).join(lists, "src").select("vec", "_list"))
+    rows = salted_join(asked, by_vector, ["vec"])
+    if itself and not include_self:
+        rows = rows.withColumn("_list", F.filter("_list", lambda item: item["dst"] != F.col("key")))
+    out = rows.select(F.col("key").alias("src"), F.posexplode(F.slice("_list", 1, k)).alias("_place", "_item"))
+    return out.select("src", "_item.dst", "_item.distance", (F.col("_place") + 1).alias("place"))
+
+
+def _search(
+    points: DataFrame, k: int, queries: DataFrame, drop_self: bool, probes: int | None, block_rows: int
+) -> DataFrame:
+    """The k nearest points of each query row.
+
+    The space is cut into cells around sampled pivots. Triangle and half-plane bounds tell which
+    cells can hold a neighbour, so the result is exact; ``probes`` visits only that many nearest
+    cells and is then approximate. Cells larger than a block are split, so a crowded region is
+    many tasks, and each task returns at most k rows per query.
     """
     spark = points.sparkSession
     base = points.select(F.col("key").alias("dst"), "vec")
     rows = base.count()
-    itself = queries is None
-    asked = (points if itself else queries).select(F.col("key").alias("src"), "vec")
-    if itself:
-        k = min(max(2, k), max(rows - 1, 1))
+    asked = queries.select(F.col("key").alias("src"), "vec")
     cells = max(1, min(MAX_CELLS, math.ceil(rows / block_rows)))
     if cells == 1:
         placed = base.withColumn("cell", F.lit(0))
@@ -129,7 +169,7 @@ def knn(
         sample = base.orderBy(F.xxhash64("dst"), "dst").limit(cells).select("vec").collect()
         pivots = np.array([row["vec"] for row in sample], dtype=np.float64)
         placed = cut(nearest_center(base, pivots))
-        wanted = k if include_self or not itself else k + 1
+        wanted = k + 1 if drop_self else k
         near = Window.partitionBy("cell").orderBy("radius")
         firsts = placed.select("cell", "radius").withColumn("_place", F.row_number().over(near)).filter(F.col("_place") <= wanted)
         # One row for each cell: k distances and the radius.
@@ -170,7 +210,7 @@ def knn(
     group = ["cell", "chunk", "block"]
     kind = asked.schema["src"].dataType.simpleString()
     lists = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(
-        _shortlist(k, include_self), f"src {kind}, dst {kind}, distance double"
+        _shortlist(k, drop_self), f"src {kind}, dst {kind}, distance double"
     )
     order = Window.partitionBy("src").orderBy("distance", "dst")
     return lists.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
@@ -207,7 +247,8 @@ def mutual_reachability(neighbors: DataFrame, cores: DataFrame) -> DataFrame:
     a = cores.select(F.col("key").alias("src"), F.col("core").alias("_a"))
     b = cores.select(F.col("key").alias("dst"), F.col("core").alias("_b"))
     reach = F.greatest("_a", "_b", "distance")
-    edges = neighbors.join(a, "src").join(b, "dst").select("src", "dst", reach.alias("weight"))
+    # Copies of a point share their nearest keys, so a dst can be hot.
+    edges = salted_join(neighbors.join(a, "src"), b, ["dst"], count_on=neighbors).select("src", "dst", reach.alias("weight"))
     return simplify_edges(edges)
 
 

@@ -41,6 +41,14 @@ def test_knn_equals_brute_force(spark, block_rows):
     assert found == brute_knn(values, values, 5, True)
 
 
+@pytest.mark.parametrize("block_rows", [16384, 20])
+def test_knn_with_many_copies(spark, block_rows):
+    values = np.concatenate([np.zeros((30, 3)), blobs(10), np.ones((25, 3)), rng.normal(size=(9, 3))])
+    rows = neighbors.knn(points_frame(spark, values), 4, block_rows=block_rows, copy_limit=8).collect()
+    found = {i: [r["dst"] for r in sorted(rows, key=lambda r: r["place"]) if r["src"] == i] for i in range(len(values))}
+    assert found == brute_knn(values, values, 4, True)
+
+
 def test_knn_of_other_rows(spark):
     values, asked = rng.normal(size=(60, 4)), rng.normal(size=(11, 4))
     rows = neighbors.knn(points_frame(spark, values), 3, points_frame(spark, asked), include_self=True, block_rows=16).collect()
