@@ -164,6 +164,11 @@ def test_density_clusters_and_assignment(spark):
     assert given[501] in kept and given[501] != given[500] and given[502] == -1
 
 
+def test_density_of_a_single_point(spark):
+    rows = density.density_clusters(points_frame(spark, [[1.0, 2.0]]), min_cluster_size=2).collect()
+    assert [(r["cluster"], r["strength"]) for r in rows] == [(-1, 0.0)]
+
+
 def test_silhouette_sentinel_and_value(spark):
     values = blobs(10)
     frame = points_frame(spark, values).withColumn("cluster", (F.col("key") / 10).cast("int"))
