@@ -31,8 +31,8 @@ SHARD_PIECES = 16_384
 # Text that is encoded at once: many repeated words, and ids that fit into some hundred megabytes.
 SLICE_BYTES = 16_000_000
 # Entries of a worker's memory of encoded words; beyond them words are encoded anew each time.
-KNOWN_CHUNKS = 1_400_000
-KNOWN_WORDS = 900_000
+KNOWN_CHUNKS = 600_000
+KNOWN_WORDS = 500_000
 # Longer chunks are encoded as they come and not remembered.
 LONG_CHUNK = 48
 
