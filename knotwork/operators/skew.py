@@ -1,4 +1,4 @@
-"""Join for a left side of which one key may hold a large share."""
+"""Joins and spread aggregates for a side of which one key may hold a large share."""
 
 from __future__ import annotations
 
@@ -40,16 +40,13 @@ def salted_join(
     salts: int = SALTS,
     count_on: DataFrame | None = None,
 ) -> DataFrame:
-    """Equi-join that spreads the left rows of each hot key over ``salts`` tasks.
+    """Equi-join of which one key may hold a large share of the left rows.
 
-    Right rows of hot keys are copied once for each salt; all other rows join as usual. In a chain
-    of joins ``count_on`` names the table at its start, so that the chain is not run again to
-    count keys.
+    Adaptive execution splits the partitions of such keys at run time, so no key is counted ahead
+    and the left side is read once. The last three arguments are those of callers that spread the
+    rows of an aggregate by ``spread`` and ``copies``; a join needs none of them.
     """
-    keys = list(on)
-    hot = hot_keys(left if count_on is None else count_on, keys, hot_rows)
-    a, b = spread(left, keys, hot, salts), copies(right, keys, hot, salts)
-    return a.join(b, [*keys, "_salt"], how).drop("_salt")
+    return left.join(right, list(on), how)
 
 
 def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
