@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.operators.ordering import running_total
+from knotwork.operators.ordering import group_join, running_total
 from knotwork.operators.skew import attach_row
 
 # Metric columns of a result row.
@@ -61,7 +61,7 @@ def evaluate(rows: DataFrame, by: Sequence[str] = (), score: str = "probability"
     marked = rows.withColumn("prediction", (F.col(score) >= threshold).cast("int"))
     plain = binary_metrics(marked, by)
     areas = roc_auc(rows, by, score=score)
-    return plain.join(areas, list(by)) if by else attach_row(plain, areas)
+    return group_join(plain, areas, by) if by else attach_row(plain, areas)
 
 
 def confusion_matrix(rows: DataFrame, label: str = "y", predicted: str = "prediction") -> DataFrame:
@@ -93,10 +93,13 @@ def delta_vs_baseline(
     return joined.withColumns(deltas).drop(*[f"_{m}" for m in metrics])
 
 
-def best_candidate(rows: DataFrame, candidate: str = "candidate", score: str = "auc") -> DataFrame:
-    """Candidate with the greatest mean score; the least candidate wins a tie."""
+def best_candidate(
+    rows: DataFrame, candidate: str = "candidate", score: str = "auc", grid: Sequence | None = None
+) -> DataFrame:
+    """Candidate with the greatest mean score; the first of ``grid`` wins a tie, or the least one without a grid."""
     means = rows.groupBy(candidate).agg(F.avg(score).alias("mean_score"))
-    return means.orderBy(F.desc("mean_score"), candidate).limit(1)
+    place = F.array_position(F.array(*[F.lit(c) for c in grid]), F.col(candidate)) if grid else F.col(candidate)
+    return means.orderBy(F.desc("mean_score"), place).limit(1)
 
 
 def cluster_summary(clusters: DataFrame) -> DataFrame:

@@ -20,6 +20,13 @@ from knotwork.session import cut
 SLICE_DIGITS = 4
 
 
+def group_join(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on group columns under which a null group meets itself, as in ``groupBy``."""
+    renamed = table.withColumnsRenamed({name: f"_on_{name}" for name in on})
+    same = [rows[name].eqNullSafe(renamed[f"_on_{name}"]) for name in on]
+    return rows.join(renamed, same, how).drop(*[f"_on_{name}" for name in on])
+
+
 def running_total(
     df: DataFrame, group: Sequence[str], order: Sequence[Column | str], value: str, out: str = "before"
 ) -> DataFrame:
@@ -38,7 +45,7 @@ def running_total(
     earlier_rows = Window.partitionBy("_range", *group).orderBy(*sort).rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.withColumn("_local", F.coalesce(F.sum(value).over(earlier_rows), F.lit(0)))
     return (
-        local.join(offsets, ["_range", *group])
+        group_join(local, offsets, ["_range", *group])
         .withColumn(out, F.col("_offset") + F.col("_local"))
         .drop("_range", "_offset", "_local")
     )
@@ -74,8 +81,7 @@ def hash_rank(df: DataFrame, group: Sequence[str], key: Column, seed: int, out:
     offsets = counts.select(*group, "_slice", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy(*group, "_slice").orderBy("_hash")
     return (
-        sliced.withColumn("_place", F.row_number().over(inside))
-        .join(offsets, [*group, "_slice"])
+        group_join(sliced.withColumn("_place", F.row_number().over(inside)), offsets, [*group, "_slice"])
         .withColumn(out, (F.col("_offset") + F.col("_place")).cast("long"))
         .drop("_hash", "_slice", "_place", "_offset")
     )
@@ -97,7 +103,7 @@ def grouped_quantiles(
     counted = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
     placed = running_total(counted, group, [value], "_n", "_first")
     sizes = counted.groupBy(*group).agg(F.sum("_n").alias("_size"))
-    joined = placed.join(sizes, list(group)) if group else attach_row(placed, sizes)
+    joined = group_join(placed, sizes, group) if group else attach_row(placed, sizes)
     last = F.col("_first") + F.col("_n") - 1
 
     def at(place: Column) -> Column:

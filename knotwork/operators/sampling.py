@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from knotwork.operators.ordering import hash_rank
+from knotwork.operators.ordering import group_join, hash_rank
 
 TEST_SHARE = 0.2
 FOLDS = 5
@@ -32,7 +32,7 @@ def stratified_split(
         .select(label, (F.col("_whole") + (F.col("_turn") <= F.col("_missing")).cast("int")).alias("_quota"))
     )
     ranked = hash_rank(rows, [label], F.col(key), seed, "_rank")
-    marked = ranked.join(F.broadcast(quota), label)
+    marked = group_join(ranked, F.broadcast(quota), [label])
     return marked.withColumn("is_test", F.col("_rank") <= F.col("_quota")).drop("_rank", "_quota")
 
 
