@@ -41,13 +41,17 @@ def hash_number(text: Column, modulus: Column | int) -> Column:
     return F.pmod(bits, modulus if isinstance(modulus, Column) else F.lit(modulus).cast("long"))
 
 
+# Fixed value: what Python's number reader skips round a number.
+BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u3000"
+
+
 def safe_float(text: Column, finite_only: bool = True) -> Column:
     """Number in the text by Python's rules, else null.
 
     Spark's own cast takes ``1.0f`` and refuses ``1_000``; Python does the reverse, so the
     text is matched first. NaN and infinities are dropped unless asked for.
     """
-    trimmed = F.trim(text)
+    trimmed = F.btrim(text, F.lit(BLANKS))
     value = F.when(trimmed.rlike(NUMBER_PATTERN), F.replace(trimmed, F.lit("_"), F.lit("")).try_cast("double"))
     if finite_only:
         return F.when(F.abs(value) < F.lit(float("inf")), value)

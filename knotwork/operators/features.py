@@ -80,8 +80,8 @@ def require_unique(df: DataFrame, key: str = "key") -> DataFrame:
 
 
 def left_join_dropna(rows: DataFrame, embeddings: DataFrame, vector: str = "vec") -> DataFrame:
-    """Rows that have a vector without missing parts."""
-    joined = rows.join(embeddings, "key", "left")
+    """Rows that have a vector without missing parts; the side table must not repeat a key."""
+    joined = rows.join(require_unique(embeddings), "key", "left")
     return joined.filter(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x)))
 
 
@@ -95,19 +95,19 @@ def left_join_fill_clusters(
     rows: DataFrame, clusters: DataFrame, columns: Sequence[str] = ("community", "density_cluster")
 ) -> DataFrame:
     """Cluster labels next to each row; a row without one is noise."""
-    joined = rows.join(clusters.select("key", *columns), "key", "left")
+    joined = rows.join(require_unique(clusters.select("key", *columns)), "key", "left")
     return joined.withColumns({name: F.coalesce(F.col(name), F.lit(NOISE)).cast("int") for name in columns})
 
 
 def left_join_fill_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """Rule features next to each row; missing ones are 0."""
     names = [name for name in rules.columns if name != "key"]
-    return rows.join(rules, "key", "left").fillna(0.0, subset=names)
+    return rows.join(require_unique(rules), "key", "left").fillna(0.0, subset=names)
 
 
 def inner_join_align(features: DataFrame, embeddings: DataFrame) -> DataFrame:
     """Rows present on both sides; the label travels as a column."""
-    return features.join(embeddings, "key")
+    return features.join(require_unique(embeddings), "key")
 
 
 def known_values(rows: DataFrame, column: str, include_noise: bool) -> list[int]:

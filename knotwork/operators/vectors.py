@@ -10,13 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.functions import arrays
-from knotwork.operators.blocks import block_join, list_column, matrix, nearest_center, squared_distances, strips
-from knotwork.operators.neighbors import knn
+from knotwork.operators.blocks import block_join, list_column, matrix, squared_distances, strips
 from knotwork.operators.skew import attach_row
 
 NOISE = -1
-# Centers are sent to the tasks up to this many numbers; beyond, they are joined as blocks.
-MAX_CENTER_VALUES = 4_000_000
 
 
 def dimension(points: DataFrame, vec: str = "vec") -> int:
@@ -98,22 +95,33 @@ def global_centroid(points: DataFrame, vec: str = "vec") -> DataFrame:
 def nearest_centroid(points: DataFrame, centers: DataFrame) -> DataFrame:
     """Adds ``nearest`` and ``nearest_distance``; the least cluster wins a tie.
 
-    Centers are held by each task while they are few; many centers go through the block join
-    behind ``knn``, which has no such bound.
+    Points and centers meet as pairs of blocks, whatever their number; a block pair gives each
+    point its nearest center there, and the least (distance, cluster) of a point is kept. Clusters
+    keep their type. Keys must be unique.
     """
-    size = centers.agg(F.sum(F.size("centroid"))).first()[0] or 0
-    if size > MAX_CENTER_VALUES:
-        found = knn(centers.select(F.col("cluster").cast("string").alias("key"), F.col("centroid").alias("vec")), 1, points.select(F.col("key").cast("string").alias("key"), "vec"))
-        found = found.select(F.col("src").alias("_key"), F.col("dst").cast("int").alias("nearest"), F.col("distance").alias("nearest_distance"))
-        return points.join(found, F.col("key").cast("string") == F.col("_key")).drop("_key")
-    rows = centers.orderBy("cluster").collect()
-    names = F.array(*[F.lit(row["cluster"]) for row in rows])
-    placed = nearest_center(points, np.array([row["centroid"] for row in rows]))
-    return (
-        placed.withColumn("nearest", names[F.col("cell")])
-        .withColumn("nearest_distance", F.col("radius"))
-        .drop("cell", "radius")
-    )
+    columns = points.columns
+    left = points.select(F.col("key").alias("_key"), F.col("vec").alias("_vec"))
+    right = centers.select("cluster", "centroid")
+    kind = dict(right.dtypes)["cluster"]
+    schema = f"_key {dict(left.dtypes)['_key']}, nearest {kind}, nearest_distance double"
+
+    def work(rows: pa.Table, near: pa.Table) -> pa.Table:
+        names = ["_key", "nearest", "nearest_distance"]
+        if not rows.num_rows or not near.num_rows:
+            empty = [rows.column("_key").slice(0, 0), near.column("cluster").slice(0, 0), pa.array([], pa.float64())]
+            return pa.table(empty, names=names)
+        near = near.sort_by("cluster")
+        own, others = matrix(rows.column("_vec")), matrix(near.column("centroid"))
+        place = np.empty(len(own), dtype=np.int64)
+        for strip in strips(len(own)):
+            place[strip] = squared_distances(own[strip], others).argmin(axis=1)
+        distance = np.sqrt(((own - others[place]) ** 2).sum(axis=1))
+        return pa.table([rows.column("_key"), near.column("cluster").take(pa.array(place)), pa.array(distance)], names=names)
+
+    found = block_join(left, right, "_key", "cluster", work, schema, points.count(), centers.count())
+    best = found.groupBy("_key").agg(F.min(F.struct("nearest_distance", "nearest")).alias("_best"))
+    placed = points.join(best, points["key"].eqNullSafe(best["_key"]))
+    return placed.select(*columns, F.col("_best.nearest").alias("nearest"), F.col("_best.nearest_distance").alias("nearest_distance"))
 
 
 def pairwise_distance(points: DataFrame, centers: DataFrame) -> DataFrame:
