@@ -4,57 +4,61 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.functions.scalars import contains_any
 from knotwork.operators.skew import HOT_ROWS, salted_join
 from knotwork.operators.triples import CATEGORY_SUFFIXES, PATIENT_PREFIX, RDF_TYPE, is_patient
 
-Pattern = tuple[str, str, str]
+# A term is ``?name``, a text of any kind, or (text, kind).
+Term = str | tuple[str, str]
+Pattern = tuple[Term, Term, Term]
 
 
-def match_pattern(triples: DataFrame, pattern: Pattern) -> DataFrame:
-    """Bindings of one pattern: constants filter the scan, ``?name`` terms become columns.
+def _kind(column: str) -> Column:
+    return F.lit("iri") if column == "pred" else F.col(f"{column}_kind")
 
-    A variable at the object place also yields ``name_kind``.
-    """
+
+def match_pattern(triples: DataFrame, pattern: Pattern) -> DataFrame:
+    """Bindings of one pattern: constants filter the scan, ``?name`` terms become ``name`` and ``name_kind``."""
     rows = triples
     seen: dict[str, str] = {}
     for column, term in zip(("subj", "pred", "obj"), pattern):
-        if not term.startswith("?"):
+        if isinstance(term, tuple):
+            rows = rows.filter((F.col(column) == term[0]) & (_kind(column) == term[1]))
+        elif not term.startswith("?"):
             rows = rows.filter(F.col(column) == term)
         elif term in seen:
-            rows = rows.filter(F.col(column) == F.col(seen[term]))
+            rows = rows.filter((F.col(column) == F.col(seen[term])) & (_kind(column) == _kind(seen[term])))
         else:
             seen[term] = column
     columns = []
     for term, column in seen.items():
-        columns.append(F.col(column).alias(term[1:]))
-        if column == "obj":
-            columns.append(F.col("obj_kind").alias(f"{term[1:]}_kind"))
+        columns += [F.col(column).alias(term[1:]), _kind(column).alias(f"{term[1:]}_kind")]
     return rows.select(*columns)
 
 
 def bgp_match(triples: DataFrame, patterns: Sequence[Pattern], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Conjunction of patterns as equi-joins on their shared variables.
+    """Conjunction of patterns as equi-joins on their shared variables, text and kind.
 
-    The next pattern is always one that shares a variable with those already joined; a pattern
-    that shares none would be a product and is refused.
+    A literal never meets an IRI or a blank node of the same text. The next pattern is always one
+    that shares a variable with those already joined; a pattern that shares none would be a product
+    and is refused. Variables at an object place also yield ``name_kind``.
     """
     waiting = [(pattern, match_pattern(triples, pattern)) for pattern in patterns]
     _, solved = waiting.pop(0)
     while waiting:
         for position, (_, rows) in enumerate(waiting):
-            variables = [c for c in rows.columns if c in solved.columns and not c.endswith("_kind")]
-            if variables:
+            shared = [c for c in rows.columns if c in solved.columns]
+            if shared:
                 break
         else:
             raise ValueError("patterns must be connected by variables")
         waiting.pop(position)
-        repeated = [c for c in rows.columns if c in solved.columns and c not in variables]
-        solved = salted_join(rows.drop(*repeated), solved, variables, hot_rows=hot_rows)
-    return solved
+        solved = salted_join(rows, solved, shared, hot_rows=hot_rows)
+    objects = {p[2][1:] for p in patterns if isinstance(p[2], str) and p[2].startswith("?")}
+    return solved.select(*[c for c in solved.columns if not c.endswith("_kind") or c.removesuffix("_kind") in objects])
 
 
 def lookup_spo(triples: DataFrame, keys: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
