@@ -5,6 +5,7 @@ A triples table has ``subj, subj_kind, pred, obj, obj_kind, obj_datatype, obj_la
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,13 +22,16 @@ NT_LINE = (
 RDF_NAMESPACE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 # Escapes of N-Triples strings.
 ESCAPES = [("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ("\\'", "'"), ("\\b", "\b"), ("\\f", "\f")]
-BACKSLASH_MARK, QUOTE_MARK = "\u0001", "\u0002"
+# A mark in the data itself is written as MARK and "m", so it is never taken for an escape.
+MARK = "\u0001"
+MARKED = [(MARK, f"{MARK}m"), ("\\\\", f"{MARK}b"), ('\\"', f"{MARK}q")]
 
 
 def _protect(line: Column) -> Column:
     """Escaped backslashes and quotes behind marks, so that only real quotes and escapes are left."""
-    marked = F.replace(line, F.lit("\\\\"), F.lit(BACKSLASH_MARK))
-    return F.replace(marked, F.lit('\\"'), F.lit(QUOTE_MARK))
+    for found, meant in MARKED:
+        line = F.replace(line, F.lit(found), F.lit(meant))
+    return line
 
 
 def _decode(text: Column) -> Column:
@@ -43,7 +47,9 @@ def _decode(text: Column) -> Column:
     )
     joined = F.concat(F.element_at(pieces, 1), F.array_join(codes, ""))
     out = F.when(F.contains(plain, F.lit("\\")), joined).otherwise(plain)
-    return F.replace(F.replace(out, F.lit(QUOTE_MARK), F.lit('"')), F.lit(BACKSLASH_MARK), F.lit("\\"))
+    for meant, mark in (('"', "q"), ("\\", "b"), (MARK, "m")):
+        out = F.replace(out, F.lit(MARK + mark), F.lit(meant))
+    return out
 
 
 def parse_ntriples(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -67,9 +73,18 @@ def parse_ntriples(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return triples, bad
 
 
-def read_ntriples(spark: SparkSession, path: str, distinct: bool = True) -> DataFrame:
-    """Line-oriented RDF; the files are split like any text. A graph is a set, so repeats go."""
-    triples, _ = parse_ntriples(spark.read.text(path))
+def read_ntriples(spark: SparkSession, path: str, distinct: bool = True, strict: bool = True) -> DataFrame:
+    """Line-oriented RDF; the files are split like any text. A graph is a set, so repeats go.
+
+    A line that is no triple ends the job with an error; without ``strict`` such lines are left out
+    and ``bad_ntriples`` lists them.
+    """
+    lines = spark.read.text(path)
+    if strict:
+        known = F.col("value").rlike(r"^\s*(#.*)?$") | _protect(F.col("value")).rlike(NT_LINE)
+        broken = F.raise_error(F.concat(F.lit("no triple: "), F.substring("value", 1, 200))).cast("boolean")
+        lines = lines.filter(F.when(known, F.lit(True)).otherwise(broken))
+    triples, _ = parse_ntriples(lines)
     return triples.dropDuplicates() if distinct else triples
 
 
@@ -172,12 +187,53 @@ def read_rdfxml(spark: SparkSession, path: str, distinct: bool = True) -> DataFr
     return triples.dropDuplicates() if distinct else triples
 
 
-def read_triples_tsv(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
-    """head, relation, tail."""
-    return spark.read.csv(path, sep="\t", header=header, schema="head string, relation string, tail string")
+# Escapes that keep a text on one line of a separated file, and the sign for null.
+LINE_ESCAPES = [("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")]
+NULL_SIGN = "\\N"
+
+
+def escape_field(text: Column) -> Column:
+    """A text without tabs and line breaks; null is told apart from an empty text."""
+    out = text
+    for meant, escaped in LINE_ESCAPES:
+        out = F.replace(out, F.lit(meant), F.lit(escaped))
+    return F.coalesce(out, F.lit(NULL_SIGN))
+
+
+def unescape_field(text: Column) -> Column:
+    out = F.replace(F.replace(text, F.lit(MARK), F.lit(f"{MARK}m")), F.lit("\\\\"), F.lit(f"{MARK}b"))
+    for meant, escaped in LINE_ESCAPES[1:]:
+        out = F.replace(out, F.lit(escaped), F.lit(meant))
+    out = F.replace(F.replace(out, F.lit(f"{MARK}b"), F.lit("\\")), F.lit(f"{MARK}m"), F.lit(MARK))
+    return F.when(text != NULL_SIGN, out)
+
+
+def read_triples_tsv(spark: SparkSession, path: str, header: bool = False, escaped: bool = True) -> DataFrame:
+    """head, relation, tail; ``escaped`` undoes what ``write_triples_tsv`` did to tabs and line breaks.
+
+    Each line is split at its tabs as it stands: blanks, quotes and empty texts are kept.
+    """
+    names = ["head", "relation", "tail"]
+    fields = F.split("value", "\t", 3)
+    lines = spark.read.text(path, lineSep="\n")
+    if header:
+        lines = lines.filter(F.col("value") != "\t".join(names))
+    read = unescape_field if escaped else (lambda text: text)
+    return lines.select(*[read(F.get(fields, F.lit(i))).alias(n) for i, n in enumerate(names)])
 
 
 def write_triples_tsv(triples: DataFrame, header: bool = False, path: str | None = None) -> str:
+    """One line for each triple, tabs and line breaks in texts escaped; a header names the columns in each file."""
     target = path or scratch(triples.sparkSession, "triples")
-    triples.select("head", "relation", "tail").write.csv(target, sep="\t", header=header)
+    names = ["head", "relation", "tail"]
+    lines = triples.select(F.concat_ws("\t", *[escape_field(F.col(n)) for n in names]).alias("value"))
+
+    def titled(batches):
+        yield pa.RecordBatch.from_pydict({"value": ["\t".join(names)]})
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["value"])
+
+    if header:
+        lines = lines.mapInArrow(titled, "value string")
+    lines.write.text(target, lineSep="\n")
     return target

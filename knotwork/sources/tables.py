@@ -29,10 +29,25 @@ def with_key(df: DataFrame) -> DataFrame:
     return df.withColumnRenamed(name, "key")
 
 
-def read_feature_table(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """CSV or TSV with a header; all columns are text until ``numeric_rule_columns`` picks the numbers."""
+# How texts with quotes, line breaks, outer blanks or nothing in them stay what they are.
+CSV_OPTIONS = {
+    "header": True,
+    "escape": '"',
+    "emptyValue": "",
+    "nullValue": "\\N",
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
+
+def read_feature_table(spark: SparkSession, path: str, sep: str | None = None, multi_line: bool = True) -> DataFrame:
+    """CSV or TSV with a header; all columns are text until ``numeric_rule_columns`` picks the numbers.
+
+    With ``multi_line`` a quoted text may hold line breaks and a file is one task; without it
+    files are split, for tables whose texts have none.
+    """
     separator = sep or ("\t" if path.endswith((".tsv", ".tab")) else ",")
-    return with_key(spark.read.csv(path, header=True, sep=separator, inferSchema=False))
+    return with_key(spark.read.csv(path, sep=separator, inferSchema=False, multiLine=multi_line, **CSV_OPTIONS))
 
 
 def read_cluster_table(spark: SparkSession, path: str) -> DataFrame:
@@ -68,7 +83,7 @@ def write_table(df: DataFrame, name: str, kind: str = "csv", path: str | None =
     target = path or scratch(df.sparkSession, name)
     writer = df.write.mode("errorifexists")
     if kind == "csv":
-        writer.csv(target, header=True)
+        writer.csv(target, quoteAll=True, **CSV_OPTIONS)
     elif kind == "json":
         writer.json(target)
     elif kind == "parquet":
