@@ -98,6 +98,10 @@ LABELLED_BLOCKS = [
     (25, 0.0, 70, 0.0, 2, 1.0, 0, 0, 0, 1),
     (8, 0.0, 60, 0.0, 50, 0.0, 0, 0, 0, 1),
     (11, 0.0, 30, 0.0, 90, 0.0, 0, 0, 0, 1),
+    (20, 0.0, 20, 0.0, 1, 0.0, 0, 0, 0, 1),
+    (20, 0.0, 2, 0.0, 20, 0.0, 0, 0, 0, 1),
+    (22, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
+    (15, 0.0, 1, 1.0, 1, 0.0, 0, 0, 0, 1),
 ]
 
 

@@ -67,21 +67,34 @@ def repetitions(seed: int, key: Column, steps: Column, table: Column) -> Column:
 
 
 def replicate(
-    documents: DataFrame, weights: Mapping[str, float] | None = None, seed: int = SEED, temperature: float = TEMPERATURE
+    documents: DataFrame,
+    weights: Mapping[str, float] | None = None,
+    seed: int = SEED,
+    temperature: float = TEMPERATURE,
+    copy: str = "copy",
+    shuffle_key: str = "shuffle_key",
 ) -> DataFrame:
-    """Every row as often as it is drawn, with ``copy`` (from 0) and ``shuffle_key``, not yet ordered."""
+    """Every row as often as it is drawn, with its ``copy`` (from 0) and ``shuffle_key``, not yet ordered.
+
+    Columns of ``documents`` with these two names are replaced; other names can be given for them.
+    """
     rates = source_rates(documents, weights, temperature).select(
         F.col("source").alias("_mix_source"), F.col("steps").alias("_mix_steps"), F.col("table").alias("_mix_table")
     )
     rated = sized_join(documents.withColumn("_mix_source", F.col("source")), rates, ["_mix_source"])
     count = repetitions(seed, F.col("doc_id"), F.col("_mix_steps"), F.col("_mix_table"))
     drawn = rated.withColumn("_mix_n", count).drop("_mix_steps", "_mix_table", "_mix_source").filter("_mix_n > 0")
-    copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_mix_n") - 1))).drop("_mix_n")
-    return copies.withColumn("shuffle_key", unit_hash(seed + 1, F.col("doc_id"), F.col("copy")))
+    copies = drawn.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col("_mix_n") - 1))).drop("_mix_n")
+    return copies.withColumn(shuffle_key, unit_hash(seed + 1, F.col("doc_id"), F.col(copy)))
 
 
 def mix_sources(
-    documents: DataFrame, weights: Mapping[str, float] | None = None, seed: int = SEED, temperature: float = TEMPERATURE
+    documents: DataFrame,
+    weights: Mapping[str, float] | None = None,
+    seed: int = SEED,
+    temperature: float = TEMPERATURE,
+    copy: str = "copy",
+    shuffle_key: str = "shuffle_key",
 ) -> DataFrame:
-    """``replicate`` in the global order of ``shuffle_key``."""
-    return replicate(documents, weights, seed, temperature).orderBy("shuffle_key", "doc_id", "copy")
+    """``replicate`` in the global order of the shuffle key."""
+    return replicate(documents, weights, seed, temperature, copy, shuffle_key).orderBy(shuffle_key, "doc_id", copy)
