@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.operators.graph import connected_components
+from knotwork.session import cut
 
 SHINGLE_WORDS = 5
 # Text that is worked on at once in a task; longer texts come alone.
@@ -20,6 +20,8 @@ SLICE_BYTES = 4_000_000
 # A side of more rows than this is not broadcast.
 BROADCAST_ROWS = 50_000
 JOIN_SALTS = 32
+# Edges of one union-find in a task.
+FOREST_EDGES = 500_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -49,7 +51,7 @@ def sized_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "lef
     if right.limit(most + 1).count() <= most:
         return left.join(F.broadcast(right), same, how).drop(*keys)
     salt = F.pmod(F.xxhash64(*left.columns), F.lit(JOIN_SALTS))
-    copies = right.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))).cast("long"))
+    copies = right.withColumn("_salt2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(JOIN_SALTS - 1).cast("long"))))
     salted = left.withColumn("_salt", salt)
     return salted.join(copies, [*same, F.col("_salt") == F.col("_salt2")], how).drop(*keys, "_salt", "_salt2")
 
@@ -57,21 +59,44 @@ def sized_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "lef
 def components(edges: DataFrame) -> DataFrame:
     """key, component (the least key reachable) for the ends of ``edges`` (src, dst).
 
-    Each task first turns its edges into stars with a union-find over its own part; the stars of
-    all tasks are then merged by shuffled star steps.
+    Each task turns at most ``FOREST_EDGES`` edges at a time into stars with a union-find. A node
+    that got several roots ties them together: these ties are the edges of the next, smaller level.
+    The levels end when every node has one root; a level of few edges fits into one task.
     """
 
+    def star(forest: Forest) -> pa.RecordBatch:
+        nodes = list(forest.parent)
+        columns = [pa.array(nodes, pa.int64()), pa.array([forest.find(x) for x in nodes], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["key", "root"])
+
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, held = Forest(), 0
         for batch in batches:
-            forest = Forest()
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 forest.union(a, b)
-            nodes = list(forest.parent)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.int64()), pa.array([forest.find(x) for x in nodes], pa.int64())], names=["src", "dst"]
-            )
-
-    return connected_components(edges.select("src", "dst").mapInArrow(stars, "src long, dst long"))
+            held += len(batch)
+            if held >= FOREST_EDGES:
+                yield star(forest)
+                forest, held = Forest(), 0
+        yield star(forest)
+
+    current, found = edges.select("src", "dst"), None
+    while True:
+        rooted = current.mapInArrow(stars, "key long, root long")
+        # As many roots for a node as forests that hold it.
+        level = cut(rooted.groupBy("key").agg(F.min("root").alias("component"), F.collect_set("root").alias("roots")))
+        if found is None:
+            found = level.select("key", "component")
+        else:
+            up = level.select(F.col("key").alias("_key"), F.col("component").alias("_up"))
+            found = found.join(up, F.col("component") == F.col("_key"), "left")
+            found = found.select("key", F.coalesce("_up", "component").alias("component"))
+        ties = level.select(F.explode("roots").alias("src"), F.col("component").alias("dst")).filter("src <> dst").distinct()
+        current = cut(ties)
+        count = current.count()
+        if not count:
+            return found
+        current = current.repartition(-(-count // FOREST_EDGES))
 
 
 class Forest:
@@ -207,7 +232,7 @@ def without(documents: DataFrame, gone: DataFrame, most: int = 20 * BROADCAST_RO
 
     Rows that share an id share its fate; rows without an id stay.
     """
-    ids = cut(gone.select(F.col("doc_id").alias("_gone")).distinct())
+    ids = cut(gone.select("doc_id").distinct())
     if ids.count() <= most:
         ids = F.broadcast(ids)
-    return documents.join(ids, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return documents.join(ids, documents["doc_id"] == ids["doc_id"], "left_anti")

@@ -40,7 +40,7 @@ WINDOW = 8
 # Equal bits of 128 below which a pair is no candidate: at similarity 0.85 this is 5 deviations down.
 SKETCH_BITS = 102
 # Classes on each side of a pair of blocks.
-BLOCK_ROWS = 512
+BLOCK_ROWS = 256
 # Cells of the shingle matrix of a block pair that are held at once.
 MATRIX_CELLS = 16_000_000
 
@@ -113,9 +113,14 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = at[(at >= fresh) & (at >= back)]
             agree = 8 * sketch.shape[1] * 8 - np.bitwise_count(sketch[at] ^ sketch[at - back]).sum(axis=1, dtype=np.int64)
             at = at[agree >= SKETCH_BITS]
-            src.append(np.maximum(rep[at], rep[at - back]))
-            dst.append(np.minimum(rep[at], rep[at - back]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], names=["src", "dst"])
+            src.append(rep[at])
+            dst.append(rep[at - back])
+        # What ties a batch's classes into groups is enough: a dense region gives a row a class, not a row a pair.
+        forest = Forest()
+        pairs = zip(np.concatenate(src).tolist(), np.concatenate(dst).tolist())
+        ties = [(max(a, b), min(a, b)) for a, b in pairs if a != b and forest.union(a, b)]
+        columns = [pa.array([t[side] for t in ties], pa.int64()) for side in (0, 1)]
+        yield pa.RecordBatch.from_arrays(columns, names=["src", "dst"])
         held = tuple(x[-WINDOW:] for x in (tree, key, rep, sketch))
 
 
@@ -126,7 +131,7 @@ def forest_candidates(classes: DataFrame) -> DataFrame:
         "tree", F.expr(f"substring(keys, tree * {_KEY_BYTES} + 1, {_KEY_BYTES})").alias("key"), "rep", "sketch"
     )
     placed = rows.repartitionByRange("tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
-    return placed.mapInArrow(_neighbours, "src long, dst long").filter("src <> dst").distinct()
+    return placed.mapInArrow(_neighbours, "src long, dst long").distinct()
 
 
 def _links(table: pa.Table, percent: int) -> pa.Table:
