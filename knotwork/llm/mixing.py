@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.llm.common import sized_join, unit_hash
-from knotwork.operators.skew import attach_row
+from knotwork.session import cut
 
 SEED = 8
 MEAN_STEP = 16.0
@@ -45,15 +45,16 @@ def poisson_table(mean: Column) -> Column:
 
 def source_rates(documents: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = TEMPERATURE) -> DataFrame:
     """source, size, rate, steps, table: how often each source is to be repeated, and its distribution."""
-    sizes = documents.groupBy("source").agg(F.sum(F.coalesce(F.char_length("text"), F.lit(0))).cast("double").alias("size"))
+    sizes = cut(documents.groupBy("source").agg(F.sum(F.coalesce(F.char_length("text"), F.lit(0))).cast("double").alias("size")))
     if weights is None:
         weighed = sizes.withColumn("weight", F.pow("size", F.lit(temperature)))
     else:
         given = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
         weighed = sizes.withColumn("weight", F.coalesce(F.try_element_at(given, F.coalesce("source", F.lit(""))), F.lit(0.0)))
-    total = weighed.agg(F.sum("weight").alias("_weights"), F.sum("size").alias("_sizes"))
-    rate = F.when(F.col("size") > 0, F.col("weight") / F.col("_weights") * F.col("_sizes") / F.col("size")).otherwise(1.0)
-    rated = attach_row(weighed, total).withColumn("rate", rate)
+    all_weights, all_sizes = [float(x or 0.0) for x in weighed.agg(F.sum("weight"), F.sum("size")).first()]
+    share = F.try_divide(F.col("weight"), F.lit(all_weights))
+    rate = F.when(F.col("size") > 0, F.coalesce(share, F.lit(0.0)) * F.lit(all_sizes) / F.col("size")).otherwise(1.0)
+    rated = weighed.withColumn("rate", rate)
     steps = F.greatest(F.lit(1), F.ceil(F.col("rate") / MEAN_STEP)).cast("int")
     return rated.withColumn("steps", steps).select(
         "source", "size", "rate", "steps", poisson_table(F.col("rate") / F.col("steps")).alias("table")

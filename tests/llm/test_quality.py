@@ -40,6 +40,8 @@ def test_weights_equal_direct_sums(spark):
 def test_best_cut():
     weights = np.array([-5.0, -4.0, -1.0, 0.0, 1.0, 2.0])
     assert quality.best_cut(weights, np.array([False, False, True, False, True, True])) == -2.5
+    assert quality.best_cut(weights, np.array([False, True, False, False, True, True]), good_cost=1) == 0.5
+    assert quality.best_cut(weights, np.array([False, True, False, False, True, True]), good_cost=5) == -4.5
     assert quality.best_cut(weights, np.ones(6, bool)) == -np.inf
 
 
