@@ -32,9 +32,12 @@ BUCKETS = 10_000
 SMOOTHING = 1.0
 LABELLED_DOCUMENTS = 20_000
 SEED = 5
+# Bad documents whose rejection is worth the loss of one good document.
+GOOD_COST = 5
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
+_TWICE, _OVER_ONE = np.uint64(3), np.uint64(7)
 
 
 def _codes(chunk: str) -> list[int]:
@@ -52,10 +55,18 @@ def ngram_buckets(texts: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray,
     ends = np.concatenate([[0], np.cumsum(counts)])
     tokens = pool[np.arange(ends[-1]) + np.repeat(starts[codes] - ends[:-1], counts)]
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(ends[offsets]))
-    pairs = mixed(tokens[:-1] * _PAIR + tokens[1:])
+    # Stuttering takes any word, so pairs of one token, next to each other or over one between, are one n-gram each.
+    pairs = np.where(tokens[:-1] == tokens[1:], _TWICE, mixed(tokens[:-1] * _PAIR + tokens[1:]))
     within = owner[:-1] == owner[1:]
+    over = np.flatnonzero((tokens[:-2] == tokens[2:]) & (owner[:-2] == owner[2:]))
+    pairs = np.concatenate([pairs[within], np.full(len(over), _OVER_ONE)])
     size = np.uint64(buckets)
-    return (mixed(tokens) % size).astype(np.int64), owner, (pairs[within] % size).astype(np.int64), owner[:-1][within]
+    return (
+        (mixed(tokens) % size).astype(np.int64),
+        owner,
+        (pairs % size).astype(np.int64),
+        np.concatenate([owner[:-1][within], owner[over]]),
+    )
 
 
 def ngram_counts(rows: DataFrame, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -107,11 +118,11 @@ def log_weights(rows: DataFrame, ratios: np.ndarray) -> DataFrame:
     return rows.select("doc_id", "text", "_label").mapInArrow(work, "doc_id long, _label int, log_weight double")
 
 
-def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
-    """The cut that puts the fewest labelled rows on the wrong side; midway between its neighbours."""
+def best_cut(weights: np.ndarray, good: np.ndarray, good_cost: int = GOOD_COST) -> float:
+    """The cut with the least cost of labelled rows on the wrong side; midway between its neighbours."""
     order = np.argsort(weights, kind="stable")
     weights, good = weights[order], good[order]
-    wrong = np.concatenate([[0], np.cumsum(good)]) + np.concatenate([np.cumsum(~good[::-1])[::-1], [0]])
+    wrong = good_cost * np.concatenate([[0], np.cumsum(good)]) + np.concatenate([np.cumsum(~good[::-1])[::-1], [0]])
     edges = np.concatenate([[True], weights[1:] > weights[:-1], [True]])
     places = np.flatnonzero(edges)
     place = places[np.argmin(wrong[places])]
