@@ -71,10 +71,12 @@ def _slopes(weights: list[np.ndarray], x: np.ndarray, y: np.ndarray, drop) -> tu
     return loss, np.concatenate([part.ravel() for part in parts])
 
 
-def _partition_trainer(flat: np.ndarray, width: int, config: GatedConfig, epoch: int):
+def _partition_trainer(state: np.ndarray, steps: int, width: int, config: GatedConfig, epoch: int):
+    """One epoch over a partition, from the shared weights and optimiser memory after ``steps`` steps."""
+
     def train(batches):
-        weights = flat.copy()
-        first, second, step, rows, loss = np.zeros_like(flat), np.zeros_like(flat), 0, 0, 0.0
+        weights, first, second = (part.copy() for part in np.split(state, 3))
+        step, rows, loss = steps, 0, 0.0
         keep = 1 - config.dropout
         for batch in batches:
             x, y = matrix(batch.column("features")), batch.column("y").to_numpy(zero_copy_only=False).astype(float)
@@ -92,8 +94,8 @@ def _partition_trainer(flat: np.ndarray, width: int, config: GatedConfig, epoch:
                 loss += part * len(pick)
             rows += len(x)
         if rows:
-            places = np.arange(-1, len(weights))
-            values = np.concatenate([[loss], weights * rows])
+            places = np.arange(-2, len(state))
+            values = np.concatenate([[(step - steps) * rows, loss], np.concatenate([weights, first, second]) * rows])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(places, pa.int32()), pa.array(values), pa.array(np.full(len(places), rows), pa.int64())],
                 names=["place", "total", "rows"],
@@ -135,11 +137,14 @@ def fit_gated(train: DataFrame, config: GatedConfig = GatedConfig()) -> GatedMod
     rng = np.random.default_rng(config.seed)
     fan = np.repeat([rows_in for rows_in, _ in _shapes(width, config)[::2]], 2)
     flat = np.concatenate([rng.uniform(-1, 1, shape).ravel() / np.sqrt(n) for n, shape in zip(fan, _shapes(width, config))])
+    state, steps = np.concatenate([flat, np.zeros(2 * len(flat))]), 0
     losses: list[float] = []
     for epoch in range(config.epochs):
-        pushed = rows.mapInArrow(_partition_trainer(flat, width, config, epoch), "place int, total double, rows long")
+        # Weights and optimiser memory live on from epoch to epoch; both are averaged over partitions by rows.
+        pushed = rows.mapInArrow(_partition_trainer(state, steps, width, config, epoch), "place int, total double, rows long")
         merged = pushed.groupBy("place").agg((F.sum("total") / F.sum("rows")).alias("value")).toPandas()
         values = merged.sort_values("place")["value"].to_numpy()
-        losses.append(float(values[0]))
-        flat = values[1:].copy()
-    return GatedModel(flat, width, config, losses)
+        steps += max(1, round(float(values[0])))
+        losses.append(float(values[1]))
+        state = values[2:].copy()
+    return GatedModel(np.split(state, 3)[0], width, config, losses)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from knotwork.functions.scalars import rounded
 from knotwork.operators import gated, learn, metrics, neighbors, sampling, stacking
+from knotwork.operators.vectors import standardize
 from knotwork.plans.bindings import customer_features, scored, supplier_clusters, vectors, with_tables
 from knotwork.plans.feature_queries import GROUPED, QUOTAS
 from knotwork.plans.registry import query
@@ -79,8 +80,8 @@ def _(spark, sf):
 @query("clf_gated_mlp")
 def _(spark, sf):
     train, test = split(spark, sf)
-    model = gated.fit_gated(train, gated.GatedConfig(epochs=3))
-    rows = model.score(test).withColumn("gate_mean", F.aggregate("gate", F.lit(0.0), lambda a, x: a + x) / F.size("gate"))
+    model = gated.fit_gated(cut(standardize(train, "features")))
+    rows = model.score(standardize(test, "features", train)).withColumn("gate_mean", F.aggregate("gate", F.lit(0.0), lambda a, x: a + x) / F.size("gate"))
     return rows.select("key", "y", "probability", "gate_mean")
 
 
