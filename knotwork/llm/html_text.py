@@ -42,8 +42,12 @@ REST_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adbox sponsor sponsored promo promotion banner masthead menu nav navbar navigation "
     "breadcrumb breadcrumbs sidebar aside widget footer footnav copyright cookie cookies consent gdpr notice notification alert popup "
     "modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment "
-    "comments commentlist disqus respond reply replies pagination pager toolbar skip hidden".split()
+    "comments commentlist disqus respond reply replies pagination pager toolbar skip hidden disclaimer paywall donate feedback "
+    "discussion header topbar".split()
 )
+# Words beside which a name of the list above speaks of something else, as in "has-sidebar" or "article-header".
+OTHER_NAMES = frozenset("has with without no article entry post story section content main".split())
+WHOLE_TAGS = frozenset("html body main".split())
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -146,8 +150,11 @@ def _names_rest(name: str, attributes: str) -> bool:
             return True
         if key == "role" and value.lower() in REST_ROLES:
             return True
-        if key in ("class", "id") and any(p.lower() in REST_NAMES for p in _NAME_PARTS.split(value) if p):
-            return True
+        if key in ("class", "id") and name not in WHOLE_TAGS:
+            for one in value.split():
+                parts = {p.lower() for p in _NAME_PARTS.split(one) if p}
+                if parts & REST_NAMES and not (parts & OTHER_NAMES and parts & REST_NAMES <= {"header", "sidebar", "footer"}):
+                    return True
     return False
 
 

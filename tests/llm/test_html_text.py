@@ -26,6 +26,11 @@ PAGES = {
     "script": ("<article><p>a</p><script>if (a < b) { '<p>x</p>' }</script><!-- <p>c</p> --><p>b &lt;i&gt;</p></article>", "a\nb <i>"),
     "attributes": ("<article><p title=\"a > b\">kept</p><p hidden>gone</p><p style='display: none'>gone</p></article>", "kept"),
     "stray": ("a < b & c <article><p>x < y</p></article>", "x < y"),
+    "names": (
+        f"<body class='has-sidebar'><div class='siteHeader'>Top</div><div class='post has-sidebar'><article><div class='entry-header'><h2>Named</h2></div>"
+        f"<p>{BODY}</p><div id='reader-comments'><article><p>{BODY}</p></article></div></article></div><div role='search'>Find {BODY}</div></body>",
+        f"Named\n{BODY}",
+    ),
     "empty": ("", ""),
 }
 
