@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -38,9 +40,30 @@ def checkpoint_root(spark: SparkSession) -> str:
     return folder
 
 
+_OWN_FOLDERS: set[str] = set()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder for a table that is written and read back."""
-    return f"{checkpoint_root(spark).rstrip('/')}/knotwork/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder for a table that is written and read back.
+
+    Results may still read such tables, so they live as long as the application: its folder is
+    removed when the driver ends.
+    """
+    folder = f"{checkpoint_root(spark).rstrip('/')}/knotwork/{spark.sparkContext.applicationId}"
+    if folder not in _OWN_FOLDERS:
+        _OWN_FOLDERS.add(folder)
+
+        def clean() -> None:
+            with contextlib.suppress(Exception):  # the session may be gone already
+                _remove(spark, folder)
+
+        atexit.register(clean)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -63,7 +86,5 @@ def renew(old: DataFrame | None, df: DataFrame) -> DataFrame:
     new = cut(df)
     path = getattr(old, "_knotwork_path", None)
     if path:
-        spark = new.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        _remove(new.sparkSession, path)
     return new
