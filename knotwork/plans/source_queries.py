@@ -33,7 +33,7 @@ def _documents(spark, sf):
 @query("read_ntriples", NT_SQL)
 def _(spark, sf):
     path = rdf.write_ntriples(kg_triples(spark, sf).unionByName(_documents(spark, sf)))
-    return rdf.read_ntriples(spark, path).select(*COLUMNS)
+    return rdf.read_ntriples(spark, path, strict=True).select(*COLUMNS)
 
 
 @query("read_rdfxml", f"{KG} SELECT subj, subj_kind, pred, obj, obj_kind FROM kg WHERE contains(subj, 'Patient_')")

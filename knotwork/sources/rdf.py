@@ -73,11 +73,11 @@ def parse_ntriples(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return triples, bad
 
 
-def read_ntriples(spark: SparkSession, path: str, distinct: bool = True, strict: bool = True) -> DataFrame:
+def read_ntriples(spark: SparkSession, path: str, distinct: bool = True, strict: bool = False) -> DataFrame:
     """Line-oriented RDF; the files are split like any text. A graph is a set, so repeats go.
 
-    A line that is no triple ends the job with an error; without ``strict`` such lines are left out
-    and ``bad_ntriples`` lists them.
+    With ``strict`` a line that is no triple ends the job with an error; without it such lines are
+    left out and ``bad_ntriples`` lists them.
     """
     lines = spark.read.text(path)
     if strict:

@@ -38,8 +38,8 @@ def test_ntriples_marks_and_bad_lines(spark, tmp_path):
     bad = tmp_path / "bad.nt"
     bad.write_text("<http://e/s> <http://e/p> <http://e/o> .\n# note\n\nnot a triple\n")
     with pytest.raises(Exception, match="no triple"):
-        rdf.read_ntriples(spark, str(bad)).collect()
-    assert rdf.read_ntriples(spark, str(bad), strict=False).count() == 1
+        rdf.read_ntriples(spark, str(bad), strict=True).collect()
+    assert rdf.read_ntriples(spark, str(bad)).count() == 1
     assert [r.value for r in rdf.bad_ntriples(spark, str(bad)).collect()] == ["not a triple"]
 
 
