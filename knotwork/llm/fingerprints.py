@@ -116,7 +116,10 @@ def edited_text(text: Column, following: Column) -> Column:
 
 def fingerprint_edits(documents: DataFrame, k: int = K) -> DataFrame:
     """Fingerprints of every text and of its edited text, with their likeness and that to the next document."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # The ids go in as they are where they are long already: only then do both joins see the same exchange
+    # of the texts, which is written once and read twice.
+    doc_id = F.col("doc_id") if dict(documents.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
+    docs = documents.select(doc_id, F.coalesce("text", F.lit("")).alias("text"))
     order = next_ids(docs)
     known = docs.filter("doc_id IS NOT NULL")
     following = (
