@@ -6,7 +6,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +15,7 @@ from knotwork.session import cut
 
 SHINGLE_WORDS = 5
 # Text that is worked on at once in a task; longer texts come alone.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 # A side of more rows than this is not broadcast.
 BROADCAST_ROWS = 50_000
 JOIN_SALTS = 32
@@ -159,8 +158,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(words: pa.Array) -> np.ndarray:
-    return pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False)
+# A random number for each byte value.
+_BYTES = np.random.default_rng(64).integers(1, 2**63, 256, dtype=np.uint64)
+
+
+def word_hashes(words: pa.StringArray) -> np.ndarray:
+    """64-bit hashes of words from their bytes: byte numbers times powers by place, summed and mixed."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    wide = np.int64 if pa.types.is_large_string(words.type) else np.int32
+    offsets = np.frombuffer(words.buffers()[1], dtype=wide)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    text = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    sizes = np.diff(offsets)
+    powers = np.cumprod(np.full(int(sizes.max()) + 1, _ODD), dtype=np.uint64)
+    place = np.arange(len(text)) - np.repeat(offsets[:-1], sizes)
+    out = np.zeros(len(words), dtype=np.uint64)
+    full = np.flatnonzero(sizes)
+    if len(full):
+        out[full] = np.add.reduceat(_BYTES[text] * powers[place], offsets[:-1][full])
+    return mixed(out + sizes.astype(np.uint64))
 
 
 def shingle_sets(texts: pa.Array, words: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:

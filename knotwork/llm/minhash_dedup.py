@@ -211,7 +211,8 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
         )
     )
     groups = cut(components(forest_candidates(classes)))
-    links = confirmed_links(documents, classes, groups, percent)
+    # Written, so that no task holds two Python workers at once.
+    links = cut(confirmed_links(documents, classes, groups, percent))
     # Rows that repeat an id with another text tie their classes together.
     again = with_words.groupBy("doc_id").agg(F.min("cls").alias("cls"), F.max("cls").alias("last")).filter("cls <> last")
     ties = (

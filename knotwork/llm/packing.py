@@ -16,7 +16,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,15 +27,24 @@ SEQUENCE_TOKENS = 4096
 END_ID = 1
 # Pieces that one task packs; about 4,000 sequences.
 SHARD_PIECES = 16_384
-# Text that is encoded at once: many repeated words, and ids that fit into some hundred megabytes.
-SLICE_BYTES = 16_000_000
+# Text that is encoded at once: many repeated words, and ids that fit into some tens of megabytes.
+SLICE_BYTES = 4_000_000
 # Entries of a worker's memory of encoded words; beyond them words are encoded anew each time.
-KNOWN_CHUNKS = 600_000
-KNOWN_WORDS = 500_000
+KNOWN_CHUNKS = 150_000
+KNOWN_WORDS = 150_000
 # Longer chunks are encoded as they come and not remembered.
 LONG_CHUNK = 48
 
 
+def _ids(tokenizer, texts: list[str]) -> list[np.ndarray]:
+    """Ids of each text, a few texts at a time: what the tokenizer gives back is many times larger than the ids."""
+    out: list[np.ndarray] = []
+    for start in range(0, len(texts), 64):
+        found = tokenizer.encode_batch_fast(texts[start : start + 64], add_special_tokens=False)
+        out += [np.array(e.ids, dtype="<u4") for e in found]
+    return out
+
+
 class WordEncoder:
     """Token ids as little-endian bytes, remembered for each chunk between blanks and each run of letters.
 
@@ -73,15 +81,13 @@ class WordEncoder:
         }
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        return [ids.tobytes() for ids in _ids(self.tokenizer, texts)]
 
     def _encode_runs(self, runs: list[str]) -> dict[str, bytes]:
         if not runs:
             return {}
         lines = [" ".join(runs[i : i + 20]).translate(self.as_bytes) for i in range(0, len(runs), 20)]
-        found = self.bare.encode_batch_fast(lines, add_special_tokens=False)
-        ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in found])
+        ids = np.concatenate(_ids(self.bare, lines))
         cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
         raw = ids.tobytes()
         return {run: raw[a:b] for run, a, b in zip(runs, cuts[:-1], cuts[1:], strict=True)}
@@ -244,16 +250,15 @@ def pack(parts: DataFrame, capacity: int = SEQUENCE_TOKENS, shard_pieces: int =
     shards = max(1, -(-parts.count() // shard_pieces))
     schema = parts.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
 
-    def work(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        sequence, offset = best_fit(frame["length"].tolist(), capacity)
-        frame = frame.drop(columns="_shard")
-        frame["sequence_id"] = np.array(sequence, dtype=np.int64) * shards + key[0]
-        frame["offset"] = np.array(offset, dtype=np.int64)
-        return frame
+    def work(rows: pa.Table) -> pa.Table:
+        number = rows.column("_shard")[0].as_py()
+        rows = rows.drop_columns("_shard").sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        sequence, offset = best_fit(rows.column("length").to_pylist(), capacity)
+        rows = rows.append_column("sequence_id", pa.array(np.array(sequence, dtype=np.int64) * shards + number))
+        return rows.append_column("offset", pa.array(offset, pa.int64()))
 
     shard = F.pmod(F.xxhash64(*parts.columns), F.lit(shards)).alias("_shard")
-    return parts.select("*", shard).groupBy("_shard").applyInPandas(work, schema)
+    return parts.select("*", shard).groupBy("_shard").applyInArrow(work, schema)
 
 
 def pack_documents(documents: DataFrame, tokenizer_path: str, capacity: int = SEQUENCE_TOKENS) -> DataFrame:
