@@ -69,6 +69,11 @@ LABELLED_BLOCKS = [
     (3, 1.0, 1, 1.0, 40, 0.0, 0, 0, 0, 0),
     (4, 1.0, 3, 1.0, 3, 1.0, 0, 0, 0, 0),
     (2, 1.0, 60, 0.0, 2, 1.0, 0, 0, 0, 0),
+    (2, 1.0, 60, 0.0, 40, 0.0, 0, 0, 0, 0),
+    (7, 1.0, 30, 0.0, 50, 0.0, 0, 0, 0, 0),
+    (4, 1.0, 9, 1.0, 60, 0.0, 0, 0, 0, 0),
+    (6, 0.8, 12, 0.0, 0, 0.0, 0, 0, 0, 0),
+    (5, 1.0, 20, 0.0, 12, 0.0, 0, 0, 1, 0),
     (12, 0.9, 4, 1.0, 9, 1.0, 0, 0, 0, 0),
     (25, 0.8, 12, 0.9, 30, 0.7, 0, 0, 0, 0),
     (6, 0.0, 1, 1.0, 9, 0.0, 1, 0, 0, 0),
@@ -84,6 +89,15 @@ LABELLED_BLOCKS = [
     (5, 0.2, 3, 0.0, 4, 0.5, 0, 0, 0, 0),
     (7, 0.0, 4, 0.0, 3, 0.0, 0, 0, 0, 0),
     (2, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0),
+    (2, 0.0, 60, 0.0, 6, 1.0, 0, 0, 0, 0),
+    (4, 0.0, 40, 0.0, 12, 1.0, 0, 0, 0, 0),
+    (3, 0.0, 8, 1.0, 9, 1.0, 0, 0, 0, 0),
+    (6, 0.0, 3, 1.0, 20, 0.8, 0, 0, 0, 0),
+    (3, 0.0, 50, 0.0, 5, 1.0, 0, 0, 1, 0),
+    (2, 0.0, 2, 1.0, 3, 1.0, 0, 0, 1, 0),
+    (4, 0.0, 3, 0.0, 5, 0.0, 0, 0, 0, 0),
+    (3, 0.0, 2, 1.0, 4, 0.0, 0, 0, 0, 0),
+    (6, 0.0, 5, 0.0, 0, 0.0, 0, 0, 0, 0),
     (8, 0.0, 2, 1.0, 120, 0.0, 0, 1, 1, 1),
     (5, 0.0, 14, 0.0, 40, 0.0, 0, 1, 1, 1),
     (1, 0.0, 60, 0.0, 30, 0.0, 0, 1, 0, 1),
@@ -94,6 +108,15 @@ LABELLED_BLOCKS = [
     (140, 0.1, 60, 0.0, 9, 0.1, 0, 1, 0, 1),
     (20, 0.5, 60, 0.0, 40, 0.0, 0, 1, 0, 1),
     (4, 1.0, 40, 0.0, 60, 0.0, 0, 1, 0, 1),
+    (1, 0.0, 30, 0.0, 1, 1.0, 0, 1, 0, 1),
+    (8, 0.0, 60, 0.0, 3, 1.0, 0, 1, 0, 1),
+    (18, 0.0, 40, 0.0, 6, 1.0, 0, 1, 0, 1),
+    (3, 0.0, 60, 0.0, 4, 1.0, 0, 1, 1, 1),
+    (9, 0.0, 2, 1.0, 5, 1.0, 0, 1, 1, 1),
+    (3, 1.0, 3, 0.0, 3, 1.0, 0, 1, 0, 1),
+    (6, 1.0, 4, 1.0, 2, 1.0, 0, 1, 0, 1),
+    (2, 1.0, 6, 1.0, 1, 1.0, 0, 1, 0, 1),
+    (25, 0.9, 8, 1.0, 20, 0.9, 0, 1, 0, 1),
     (6, 0.0, 3, 1.0, 80, 0.0, 0, 0, 1, 1),
     (9, 0.0, 50, 0.0, 40, 0.0, 0, 0, 1, 1),
     (18, 0.0, 9, 0.0, 60, 0.0, 0, 0, 0, 1),
@@ -106,6 +129,29 @@ LABELLED_BLOCKS = [
     (20, 0.0, 2, 0.0, 20, 0.0, 0, 0, 0, 1),
     (22, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
     (15, 0.0, 1, 1.0, 1, 0.0, 0, 0, 0, 1),
+    (1, 0.0, 30, 0.0, 25, 0.0, 0, 0, 0, 1),
+    (4, 0.0, 60, 0.0, 40, 0.0, 0, 0, 0, 1),
+    (7, 0.0, 12, 0.0, 18, 0.0, 0, 0, 0, 1),
+    (5, 0.0, 20, 0.0, 4, 0.0, 0, 0, 0, 1),
+    (4, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 1),
+    (3, 0.0, 45, 0.0, 30, 0.0, 0, 0, 1, 1),
+    (2, 0.0, 0, 0.0, 20, 0.0, 0, 0, 1, 1),
+    (4, 0.0, 2, 1.0, 15, 0.0, 0, 0, 1, 1),
+    (5, 0.0, 3, 0.0, 12, 0.0, 0, 0, 1, 1),
+    (10, 0.0, 50, 0.0, 2, 1.0, 0, 0, 0, 1),
+    (8, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
+    (9, 0.0, 3, 0.0, 4, 0.0, 0, 0, 0, 1),
+    (8, 0.0, 9, 0.0, 2, 0.0, 0, 0, 0, 1),
+    (3, 0.0, 6, 0.0, 6, 0.0, 0, 0, 1, 1),
+    (3, 0.0, 40, 0.0, 8, 0.0, 0, 0, 0, 1),
+    (2, 0.0, 15, 0.0, 9, 0.0, 0, 0, 0, 1),
+    (2, 0.0, 30, 0.0, 8, 0.0, 0, 0, 1, 1),
+    (25, 0.4, 40, 0.0, 30, 0.0, 0, 0, 0, 1),
+    (60, 0.3, 20, 0.0, 15, 0.1, 0, 0, 0, 1),
+    (12, 0.3, 30, 0.0, 25, 0.2, 0, 0, 0, 1),
+    (8, 1.0, 40, 0.0, 20, 0.0, 0, 0, 0, 1),
+    (14, 0.9, 2, 1.0, 30, 0.0, 0, 0, 0, 1),
+    (30, 1.0, 50, 0.0, 0, 0.0, 0, 0, 0, 1),
 ]
 
 

@@ -41,6 +41,35 @@ def test_pages(name):
     assert html_text.main_text(page, TREE) == wanted
 
 
+LINKED_PAGES = {
+    "short end before linked footer": (f"<article><p>{BODY}</p><p>So it ends.</p></article><footer><a href=1>Imprint</a> <a href=2>Contact</a></footer>", f"{BODY}\nSo it ends."),
+    "related links behind": (f"<main><p>{BODY}</p><p>A last word of eight words stands here.</p></main><ul><li><a href=1>One</a><li><a href=2>Two</a></ul>", f"{BODY}\nA last word of eight words stands here."),
+    "linked list": (
+        f"<article><p>{BODY}</p><h2>Sources</h2><ul><li><a href=1>First one</a></li><li><a href=2>Second one</a></li><li><a href=3>Third</a></li></ul></article>",
+        f"{BODY}\nSources\nFirst one\nSecond one\nThird",
+    ),
+    "short between texts": (
+        f"<div><h1>Top</h1><p>{BODY}</p><p>No.</p><p>{BODY}</p><h2>Next part</h2><p>{BODY}</p><p>The end.</p></div>",
+        f"Top\n{BODY}\nNo.\n{BODY}\nNext part\n{BODY}\nThe end.",
+    ),
+    "labels of link lists": (f"<div><p>{BODY}</p><p>{BODY}</p></div><p>Tags</p><p><a href=1>One</a></p><p><a href=2>Two</a></p>", f"{BODY}\n{BODY}"),
+}
+
+
+@pytest.mark.parametrize("name", LINKED_PAGES)
+def test_short_blocks_beside_links(name):
+    page, wanted = LINKED_PAGES[name]
+    assert html_text.main_text(page, TREE) == wanted
+
+
+def test_article_blocks_are_kept_whatever_stands_beside():
+    sizes = (1, 3, 7, 8, 18, 60)
+    for words in sizes:
+        for near in [(a, x, b, y) for a in (0, *sizes) for b in (0, *sizes) for x in (0.0, 1.0) for y in (0.0, 0.5, 1.0)]:
+            for links in (0.0, 0.5, 1.0):
+                assert html_text.classify(TREE, (words, links, *near, 0, 1, 0)) == 1
+
+
 def test_long_pages_take_linear_time():
     import time
 
