@@ -47,6 +47,20 @@ REST_NAMES = frozenset(
 )
 # Words beside which a name of the list above speaks of something else, as in "has-sidebar" or "article-header".
 OTHER_NAMES = frozenset("has with without no article entry post story section content main".split())
+# First words of names that speak of a state, a kind or a screen instead of the part itself.
+QUALIFIERS = frozenset("has with without no not category tag type status format overflow sm md lg xl".split())
+PREPOSITIONS = frozenset("by for from in of on to via".split())
+# Last words of names that say only what box the part stands in.
+BOX_WORDS = frozenset(
+    "area articles author bar block body bottom box button buttons center col column container content date desktop entry fixed "
+    "form frame group holder icon icons info inner inside item items label large law leaderboard left legal lg line link links "
+    "list logo main md media message meta mobile module notice now outer panel part placeholder policy post posts primary recent "
+    "rectangle right row secondary section skyscraper slot sm small stories text this title toggle top trail tray unit wrap "
+    "wrapper xl xs zone".split()
+)
+# Skipped tags that cannot hold one of their own kind.
+FLAT_TAGS = frozenset("button select datalist canvas audio video".split())
+LEAST_PARAGRAPH = 8
 WHOLE_TAGS = frozenset("html body main".split())
 
 _TAG = re.compile(
@@ -56,6 +70,7 @@ _TAG = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _RAW_END = {name: re.compile(rf"</{name}\b", re.IGNORECASE) for name in RAW_TAGS}
+_BARE_END = re.compile(r"=\s*[^\s\"'=]+\s*\Z")
 _SPACE = re.compile(r"\s+")
 _NAME_PARTS = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
@@ -182,8 +197,8 @@ def classify(tree, row) -> int:
     return tree
 
 
-def _names_rest(name: str, attributes: str) -> bool:
-    """Whether a tag and its attributes mark a part that is no main text."""
+def _is_rest(name: str, attributes: str) -> bool:
+    """Whether a tag and its attributes, names aside, mark a part that is no main text."""
     if name in REST_TAGS:
         return True
     if not attributes or attributes.isspace():
@@ -196,30 +211,111 @@ def _names_rest(name: str, attributes: str) -> bool:
             return True
         if key == "role" and value.lower() in REST_ROLES:
             return True
-        if key in ("class", "id") and name not in WHOLE_TAGS:
-            for one in value.split():
-                parts = {p.lower() for p in _NAME_PARTS.split(one) if p}
-                if parts & REST_NAMES and not (parts & OTHER_NAMES and parts & REST_NAMES <= {"header", "sidebar", "footer"}):
-                    return True
+    return False
+
+
+def _rest_token(token: str) -> bool:
+    """Whether one class or id name, or its head word, is a name of ``REST_NAMES``."""
+    parts = [p.lower() for p in _NAME_PARTS.split(token) if p]
+    if not parts or (len(parts) > 1 and parts[0] in QUALIFIERS):
+        return False
+    if "".join(parts) in REST_NAMES:
+        return True
+    others = OTHER_NAMES.intersection(parts)
+    for place, part in enumerate(parts):
+        if place and part in PREPOSITIONS:
+            del parts[place:]
+            break
+    # The head is the last word that says more than where or what kind of box it is.
+    while len(parts) > 1 and (len(parts[-1]) == 1 or parts[-1] in BOX_WORDS) and parts[-1] not in REST_NAMES:
+        parts.pop()
+    head = parts[-1] if parts[-1] in REST_NAMES else parts[-1].removesuffix("s")
+    return head in REST_NAMES and not (head in ("header", "sidebar", "footer") and others)
+
+
+def _names_rest(name: str, attributes: str) -> bool:
+    """Whether the class and id names of a tag mark a part that is no main text."""
+    if name in WHOLE_TAGS or not attributes or attributes.isspace():
+        return False
+    for key, double, single, bare in _ATTRIBUTE.findall(attributes):
+        if key.lower() in ("class", "id") and any(map(_rest_token, (double or single or bare).split())):
+            return True
     return False
 
 
 class _Part:
-    """An open tag and what it says about the text in it."""
+    """An open tag and what it says about the text in it.
+
+    ``named`` is set by names; ``inner`` only by names that no article or main element inside outranks.
+    """
+
+    __slots__ = ("name", "rest", "named", "inner", "article", "nested")
 
-    __slots__ = ("name", "rest", "article")
+    def __init__(self, name: str, rest: bool, named: bool, inner: bool, article: bool, nested: bool):
+        self.name, self.rest, self.named, self.inner, self.article, self.nested = name, rest, named, inner, article, nested
 
-    def __init__(self, name: str, rest: bool, article: bool):
-        self.name, self.rest, self.article = name, rest, article
+
+def _tags(page: str) -> list[tuple[int, int, bool, str | None, str]]:
+    """Start, end, closing, name, attributes of each tag; raw contents belong to their open tag."""
+    out: list[tuple[int, int, bool, str | None, str]] = []
+    at, endless = 0, set()
+    for tag in iter(lambda: _TAG.search(page, at), None):
+        name, at = tag["name"], tag.end()
+        if name is None:
+            out.append((tag.start(), at, False, None, ""))
+            continue
+        name = name.lower()
+        if name in RAW_TAGS and not tag["close"]:
+            end = None if name in endless else _RAW_END[name].search(page, at)
+            if end is not None:
+                at = end.start()
+            else:
+                endless.add(name)
+                if not _closes_itself(tag["attributes"]):
+                    at = len(page)
+        out.append((tag.start(), at, bool(tag["close"]), name, tag["attributes"]))
+    return out
+
+
+def _closes_itself(attributes: str) -> bool:
+    """Whether a tag ends in a slash that is no part of an unquoted value."""
+    return attributes.rstrip().endswith("/") and not _BARE_END.search(attributes)
+
+
+def _unclosed(tags: list[tuple[int, int, bool, str | None, str]]) -> set[int]:
+    """Starts of the skipped tags that have no close tag of their own."""
+    open_tags: dict[str, list[int]] = {}
+    out: set[int] = set()
+    for start, _, close, name, attributes in tags:
+        if name not in SKIPPED_TAGS or name in RAW_TAGS:
+            continue
+        mine = open_tags.setdefault(name, [])
+        if close:
+            if mine:
+                mine.pop()
+        elif not _closes_itself(attributes):
+            if name in FLAT_TAGS:
+                out.update(mine)
+                mine.clear()
+            mine.append(start)
+    return out.union(*open_tags.values())
 
 
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
-    """Text, words, linked words, rest, article, heading of each flat block in page order."""
-    out: list[tuple[str, int, int, bool, bool, bool]] = []
+    """Text, words, linked words, rest, article, heading of each flat block in page order.
+
+    A skipped part ends with its close tag, at the latest with the block it stands in; one that is
+    never closed ends at the next block tag. A part named like a menu or an advert is rest; where
+    that leaves no paragraph of an article or main element, these elements outrank such names on
+    them and around them.
+    """
+    out: list[tuple[str, int, int, bool, bool, bool, bool]] = []
     stack: list[_Part] = []
     text: list[str] = []
     linked: list[str] = []
-    links, heading, at, skipping = 0, False, 0, 0
+    # Open skipped parts: name, blocks open around it, whether it ends at the next block tag.
+    skips: list[tuple[str, int, bool]] = []
+    links, heading, at = 0, False, 0
 
     def flush() -> None:
         if text:
@@ -227,27 +323,35 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             if plain:
                 top = stack[-1] if stack else None
                 words = plain.count(" ") + 1
-                out.append((plain, words, min(words, len("".join(linked).split())), bool(top and top.rest), bool(top and top.article), heading))
+                rest, lifted = bool(top and (top.rest or top.named)), bool(top and (top.rest or top.inner))
+                out.append((plain, words, min(words, len("".join(linked).split())), rest, bool(top and top.article), heading, lifted))
         text.clear()
         linked.clear()
 
     def say(raw: str) -> None:
-        if raw and not skipping:
+        if raw and not skips:
             plain = html.unescape(raw) if "&" in raw else raw
             text.append(plain)
             if links:
                 linked.append(plain)
 
-    for tag in iter(lambda: _TAG.search(page, at), None):
-        say(page[at : tag.start()])
-        at = tag.end()
-        name = tag["name"]
+    tags = _tags(page)
+    unclosed = _unclosed(tags)
+    for start, end, close, name, attributes in tags:
+        say(page[at:start])
+        at = end
         if name is None:
             continue
-        name = name.lower()
-        if tag["close"]:
+        if name in BLOCK_TAGS:
+            while skips and skips[-1][2]:
+                skips.pop()
+        if close:
             if name in SKIPPED_TAGS:
-                skipping = max(0, skipping - 1) if name not in RAW_TAGS else skipping
+                for place in range(len(skips) - 1, -1, -1):
+                    if skips[place][0] == name and not skips[place][2]:
+                        del stack[skips[place][1] :]
+                        del skips[place:]
+                        break
             elif name == "a":
                 links = max(0, links - 1)
             elif name in BLOCK_TAGS:
@@ -257,16 +361,13 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
                 for depth in range(len(stack) - 1, -1, -1):
                     if stack[depth].name == name:
                         del stack[depth:]
+                        while skips and skips[-1][1] > depth:
+                            skips.pop()
                         break
             continue
-        if name in RAW_TAGS:
-            end = _RAW_END[name].search(page, at)
-            if end is None:
-                at = len(page)
-                break
-            at = end.start()
-        elif name in SKIPPED_TAGS:
-            skipping += 1
+        if name in SKIPPED_TAGS:
+            if name not in RAW_TAGS and not _closes_itself(attributes):
+                skips.append((name, len(stack), start in unclosed))
         elif name == "br":
             say(" ")
         elif name == "a":
@@ -279,17 +380,22 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             heading = name[0] == "h" and name[1:].isdigit()
             if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") or heading:
                 # These end where the next of their kind begins.
-                if stack and stack[-1].name == name:
+                if stack and stack[-1].name == name and not (skips and skips[-1][1] >= len(stack)):
                     stack.pop()
             top = stack[-1] if stack else None
             article = bool(top and top.article) or name in MAIN_TAGS
             # The headline of an article may stand in a header of its own.
-            rest = bool(top and top.rest) or (_names_rest(name, tag["attributes"]) and not (name == "header" and article))
+            rest = bool(top and top.rest) or (_is_rest(name, attributes) and not (name == "header" and article))
+            hit = _names_rest(name, attributes) and not (name == "header" and article)
+            named, inner, nested = bool(top and top.named) or hit, bool(top and top.inner) or hit, bool(top and top.nested)
+            if name in MAIN_TAGS and not nested:
+                inner = False
             if name not in ("html", "body"):
-                stack.append(_Part(name, rest, article))
+                stack.append(_Part(name, rest, named, inner, article, nested or name == "article"))
     say(page[at:])
     flush()
-    return out
+    told = any(b[4] and not b[3] and not b[5] and b[1] >= LEAST_PARAGRAPH and 2 * b[2] < b[1] for b in out)
+    return [(*b[:3], b[3] if told else b[6], *b[4:6]) for b in out]
 
 
 def features(found: list[tuple]) -> list[tuple]:

@@ -70,6 +70,44 @@ def test_article_blocks_are_kept_whatever_stands_beside():
                 assert html_text.classify(TREE, (words, links, *near, 0, 1, 0)) == 1
 
 
+CLOSED = f"<p>{BODY}</p>"
+SKIPPED_PAGES = {
+    "self-closed": (f"<article><p>One <svg width=\"1\"/>two <canvas/></p>{CLOSED}</article>", f"One two\n{BODY}"),
+    "slash of a value": (f"<article><p>One <object data=/x/>gone</object>two</p>{CLOSED}</article>", f"One two\n{BODY}"),
+    "unclosed button": (f"<article><div><button>Go</div>{CLOSED}</article>", BODY),
+    "unclosed in the body": (f"<button>Go {CLOSED}{CLOSED}<button>Close</button>{CLOSED}", f"{BODY}\n{BODY}\n{BODY}"),
+    "closed after its block": (f"<article><div><object>Gone</div>{CLOSED}</object>{CLOSED}</article>", f"{BODY}\n{BODY}"),
+    "blocks inside": (f"<article>{CLOSED}<template><div>{CLOSED}</div></template><button><p>Go<p>there</button>{CLOSED}</article>", f"{BODY}\n{BODY}"),
+    "nested": (f"<article>{CLOSED}<object>a<object>b</object>c</object>{CLOSED}</article>", f"{BODY}\n{BODY}"),
+    "self-closed frame": (f"<article>{CLOSED}<iframe src='a' />{CLOSED}</article>", f"{BODY}\n{BODY}"),
+}
+NAMES = ("overflow-hidden", "tag-social-media", "has-modal", "ad-free", "category-notification", "modal", "comments")
+
+
+@pytest.mark.parametrize("name", SKIPPED_PAGES)
+def test_skipped_parts_end(name):
+    page, wanted = SKIPPED_PAGES[name]
+    assert html_text.main_text(page, TREE) == wanted
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_names_do_not_empty_an_article(name):
+    for page in (f"<div class='{name}'><article>{CLOSED}</article></div>", f"<article class='post {name}'>{CLOSED}</article>", f"<div id={name}><main>{CLOSED}</main></div>"):
+        assert html_text.main_text(page, TREE) == BODY
+
+
+def test_names_beside_an_article_are_rest():
+    other = f"<p>Other {BODY}</p>"
+    for name in ("comments", "comment-list", "ad-container", "cookie-notice", "related-posts", "shareButtons", "ads-by-us"):
+        for page in (
+            f"<main>{CLOSED}<div class={name}>{other}</div></main>",
+            f"<main>{CLOSED}<div class={name}><article>{other}</article></div></main>",
+            f"<article>{CLOSED}</article><div class={name}><article>{other}</article></div>",
+            f"<article>{CLOSED}</article><div class={name}>{other}</div>",
+        ):
+            assert html_text.main_text(page, TREE) == BODY
+
+
 def test_long_pages_take_linear_time():
     import time
 
@@ -79,6 +117,15 @@ def test_long_pages_take_linear_time():
     assert time.perf_counter() - start < 30
 
 
+def test_many_skipped_tags_take_linear_time():
+    import time
+
+    start = time.perf_counter()
+    for page in ("<button>" * 50_000, "<svg>" * 50_000, "<svg/>" * 50_000, "<iframe/>" * 50_000, "<p><object>" * 20_000, "<svg></svg>" * 50_000):
+        html_text.main_text("<article><p>" + page, TREE)
+    assert time.perf_counter() - start < 30
+
+
 def test_tree_learns_its_table():
     for *row, label in html_text.LABELLED_BLOCKS:
         assert html_text.classify(TREE, row) == label
