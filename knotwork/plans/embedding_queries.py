@@ -164,7 +164,7 @@ def _(spark, sf):
     coded = cut(kge.encode_triples(graph_triples(spark, sf))[2])
     frames = []
     for model in ("transe", "rotate", "complex"):
-        _entities, _relations, losses = kge.train_kge(coded, model, dim=16, epochs=10)
+        _entities, _relations, losses = kge.train_kge(coded, model)
         rows = [(model, round_, float(loss)) for round_, loss in enumerate(losses)]
         frames.append(spark.createDataFrame(rows, "model string, round int, loss double"))
     return reduce(DataFrame.unionByName, frames)
@@ -173,5 +173,5 @@ def _(spark, sf):
 @query("patient_vectors")
 def _(spark, sf):
     names, _, coded = kge.encode_triples(graph_triples(spark, sf))
-    entities, _, _ = kge.train_kge(coded, "transe", dim=16, epochs=5)
+    entities, _, _ = kge.train_kge(coded, "transe")
     return kge.patient_vectors(names, entities)
