@@ -38,6 +38,17 @@ def _(spark, sf):
 
 @query("read_rdfxml", f"{KG} SELECT subj, subj_kind, pred, obj, obj_kind FROM kg WHERE contains(subj, 'Patient_')")
 def _(spark, sf):
+    return _through_rdfxml(spark, kg_triples(spark, sf).filter(F.contains("subj", F.lit("Patient_"))))
+
+
+@query("read_rdfxml_graph", f"{KG} SELECT subj, subj_kind, pred, obj, obj_kind FROM kg")
+def _(spark, sf):
+    return _through_rdfxml(spark, kg_triples(spark, sf))
+
+
+def _through_rdfxml(spark, triples):
+    """The triples written as description blocks and read back; blank nodes are written by rdf:nodeID."""
+
     def text(column):
         out = F.replace(column, F.lit("&"), F.lit("&amp;"))
         return F.replace(F.replace(out, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
@@ -46,10 +57,12 @@ def _(spark, sf):
     name = F.when(F.endswith("pred", F.lit("#type")), "rdf:type").otherwise(F.concat(F.lit("ex:"), F.substring_index("pred", "#", -1)))
     iri = F.concat(F.lit("<"), name, F.lit(' rdf:resource="'), obj, F.lit('"/>'))
     literal = F.concat(F.lit("<"), name, F.lit(">"), obj, F.lit("</"), name, F.lit(">"))
-    element = F.when(F.col("obj_kind") == "iri", iri).otherwise(literal)
+    node = F.concat(F.lit("<"), name, F.lit(' rdf:nodeID="'), obj, F.lit('"/>'))
+    element = F.when(F.col("obj_kind") == "iri", iri).when(F.col("obj_kind") == "bnode", node).otherwise(literal)
+    about = F.when(F.col("subj_kind") == "bnode", "rdf:nodeID").otherwise("rdf:about")
     # One block per triple: a subject may be described in several blocks.
-    block = F.concat(F.lit('<rdf:Description rdf:about="'), text(F.col("subj")), F.lit('">'), element, F.lit("</rdf:Description>"))
-    lines = kg_triples(spark, sf).filter(F.contains("subj", F.lit("Patient_"))).select(block.alias("value"))
+    block = F.concat(F.lit("<rdf:Description "), about, F.lit('="'), text(F.col("subj")), F.lit('">'), element, F.lit("</rdf:Description>"))
+    lines = triples.select(block.alias("value"))
     path = scratch(spark, "rdfxml")
     lines.mapInArrow(_document, lines.schema).write.text(path)
     return rdf.read_rdfxml(spark, path).select(*COLUMNS)

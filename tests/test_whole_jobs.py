@@ -4,6 +4,7 @@ import inspect
 
 from knotwork.operators import kge
 from knotwork.plans import catalog
+from knotwork.plans.bindings import kg_triples
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -36,3 +37,10 @@ def test_training_takes_full_width_and_epochs(spark, monkeypatch):
     for query in ("train_kge", "patient_vectors"):
         found = arguments(monkeypatch, spark, kge, "train_kge", query)
         assert (found["dim"], found["epochs"]) == (64, 50) == (kge.DIM, kge.EPOCHS)
+
+
+def test_rdfxml_gives_back_the_whole_graph(spark):
+    found = catalog.queries()["read_rdfxml_graph"](spark, FOLDER)
+    wanted = kg_triples(spark, FOLDER).select(*found.columns).distinct()
+    assert found.exceptAll(wanted).count() == wanted.exceptAll(found).count() == 0
+    assert found.filter("obj_kind = 'bnode'").count() > 0
