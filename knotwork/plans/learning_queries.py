@@ -1,6 +1,7 @@
 """Queries on classifiers, stacking and ablations, on the vectors with label < 5 as the positive class.
 
-Ensembles have fewer rounds, trees, folds and seeds than the library's defaults; rows are all there.
+But for ``clf_forest``, ensembles have fewer rounds, trees, folds and seeds than the library's defaults; rows
+are all there.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ def _(spark, sf):
 
 @query("clf_forest")
 def _(spark, sf):
-    return _scored_test(spark, sf, learn.forest(trees=20, depth=5))
+    return _scored_test(spark, sf, learn.forest())
 
 
 @query("clf_mlp")

@@ -2,7 +2,7 @@
 
 import inspect
 
-from knotwork.operators import kge
+from knotwork.operators import kge, learn
 from knotwork.plans import catalog
 from knotwork.plans.bindings import kg_triples
 
@@ -39,6 +39,11 @@ def test_training_takes_full_width_and_epochs(spark, monkeypatch):
         assert (found["dim"], found["epochs"]) == (64, 50) == (kge.DIM, kge.EPOCHS)
 
 
+def test_forest_query_has_the_default_trees(spark, monkeypatch):
+    found = arguments(monkeypatch, spark, learn, "forest", "clf_forest")
+    assert (found["trees"], found["depth"]) == (500, None)
+
+
 def test_rdfxml_gives_back_the_whole_graph(spark):
     found = catalog.queries()["read_rdfxml_graph"](spark, FOLDER)
     wanted = kg_triples(spark, FOLDER).select(*found.columns).distinct()
