@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm import chat, fingerprints, html_text, licenses, minhash_dedup, mixing, packing, quality, topk, toxicity
+from knotwork.llm import (
+    chat,
+    fingerprints,
+    html_text,
+    licenses,
+    minhash_dedup,
+    mixing,
+    packing,
+    periodic_runs,
+    pii,
+    quality,
+    topk,
+    toxicity,
+    whitening,
+)
 from knotwork.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -231,3 +245,18 @@ FROM held h LEFT JOIN nearest n ON h.doc_id = n.doc_id
 @query("op10_licenses", _license_sql())
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(license_files(table(spark, folder, "documents")), "doc_id")
+
+
+@query("op11_whitening")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+@query("op12_pii")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digest(pii.find_personal_data(table(spark, folder, "documents")))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.repeated_runs(table(spark, folder, "documents"), edit=True)

@@ -148,7 +148,7 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     lengths = np.diff(np.asarray(rows.offsets))
     flat = np.asarray(rows.flatten(), dtype=np.float64)
     if len(lengths) and (lengths == width).all():
-        return flat.reshape(-1, width)
+        return flat.reshape(len(lengths), width)
     out = np.zeros((len(lengths), width))
     out[np.repeat(np.arange(len(lengths)), lengths), np.concatenate([np.arange(n) for n in lengths]) if len(flat) else []] = flat
     return out
