@@ -29,9 +29,9 @@ END_ID = 1
 SHARD_PIECES = 16_384
 # Text that is encoded at once: many repeated words, and ids that fit into some tens of megabytes.
 SLICE_BYTES = 4_000_000
-# Entries of a worker's memory of encoded words; beyond them words are encoded anew each time.
-KNOWN_CHUNKS = 150_000
-KNOWN_WORDS = 150_000
+# Entries of a worker's memories of encoded chunks and words; those not met for longest are forgotten.
+KNOWN_CHUNKS = 320_000
+KNOWN_WORDS = 240_000
 # Longer chunks are encoded as they come and not remembered.
 LONG_CHUNK = 48
 
@@ -45,6 +45,33 @@ def _ids(tokenizer, texts: list[str]) -> list[np.ndarray]:
     return out
 
 
+class Memory:
+    """Ids by text in two halves; when the younger half is full, the older one is forgotten."""
+
+    def __init__(self, most: int):
+        self.half = max(1, most // 2)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def recall(self, texts: list[str]) -> list[bytes | None]:
+        """Ids of each text, None where it is not known."""
+        found = list(map(self.young.get, texts))
+        old, again = self.old, {}
+        for i, ids in enumerate(found):
+            if ids is None:
+                found[i] = ids = old.get(texts[i])
+                if ids is not None:
+                    again[texts[i]] = ids
+        self.keep(again)
+        return found
+
+    def keep(self, new: dict[str, bytes]) -> None:
+        for text, ids in new.items():
+            if len(self.young) >= self.half:
+                self.old, self.young = self.young, {}
+            self.young[text] = ids
+
+
 class WordEncoder:
     """Token ids as little-endian bytes, remembered for each chunk between blanks and each run of letters.
 
@@ -68,8 +95,8 @@ class WordEncoder:
         self.ends = ends
         parts |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
         self.bare = Tokenizer.from_str(json.dumps(parts))
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.chunks = Memory(KNOWN_CHUNKS)
+        self.words = Memory(KNOWN_WORDS)
         # Letters of Latin-1 have one-to-one lower case and nothing to compose.
         letters = "A-Za-zÀ-ÖØ-öø-ÿ"
         self.plain = re.compile(f"[{letters}]+[.,;:!?]*").fullmatch
@@ -94,25 +121,19 @@ class WordEncoder:
 
     def learn(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids of chunks that are not in the memory yet."""
-        plain, other, runs, words = {}, [], set(), self.words
+        plain, other = {}, []
         for chunk in chunks:
             if len(chunk) <= LONG_CHUNK and self.plain(chunk):
                 word = chunk.rstrip(".,;:!?")
-                low, end = word.lower(), chunk[len(word) :]
-                plain[chunk] = (low, end)
-                if low not in words:
-                    runs.add(low)
-                if end and end not in words:
-                    runs.add(end)
+                plain[chunk] = (word.lower(), chunk[len(word) :])
             else:
                 other.append(chunk)
-        new = self._encode_runs(list(runs))
-        out = {}
-        for chunk, (low, end) in plain.items():
-            ids = new.get(low) or words[low]
-            out[chunk] = ids + (new.get(end) or words[end]) if end else ids
-        if len(words) + len(new) <= KNOWN_WORDS:
-            words.update(new)
+        runs = list({run for parts in plain.values() for run in parts if run})
+        words = dict(zip(runs, self.words.recall(runs)))
+        new = self._encode_runs([run for run in runs if words[run] is None])
+        words.update(new)
+        self.words.keep(new)
+        out = {chunk: words[low] + words[end] if end else words[low] for chunk, (low, end) in plain.items()}
         out.update(zip(other, self._encode(other)))
         return out
 
@@ -120,14 +141,12 @@ class WordEncoder:
         """Ids of all texts one after another, and where each text's ids begin and end."""
         offsets, codes, dictionary = word_codes(texts)
         chunks = dictionary.to_numpy(zero_copy_only=False).tolist()
-        known = self.chunks
-        spelled = list(map(known.get, chunks))
+        spelled = self.chunks.recall(chunks)
         missing = [i for i, ids in enumerate(spelled) if ids is None]
         new = self.learn([chunks[i] for i in missing])
         for i in missing:
             spelled[i] = new[chunks[i]]
-        if len(known) + len(new) <= KNOWN_CHUNKS:
-            known.update(new)
+        self.chunks.keep(new)
         sizes = np.fromiter(map(len, spelled), dtype=np.int32, count=len(spelled)) // 4
         starts = np.cumsum(sizes, dtype=np.int32) - sizes
         pool = np.frombuffer(b"".join(spelled), dtype="<u4")
@@ -257,7 +276,8 @@ def pack(parts: DataFrame, capacity: int = SEQUENCE_TOKENS, shard_pieces: int =
         rows = rows.append_column("sequence_id", pa.array(np.array(sequence, dtype=np.int64) * shards + number))
         return rows.append_column("offset", pa.array(offset, pa.int64()))
 
-    shard = F.pmod(F.xxhash64(*parts.columns), F.lit(shards)).alias("_shard")
+    # Equal rows are told apart by their place in the written table, so that copies spread over the shards.
+    shard = F.pmod(F.xxhash64(F.monotonically_increasing_id(), *parts.columns), F.lit(shards)).alias("_shard")
     return parts.select("*", shard).groupBy("_shard").applyInArrow(work, schema)
 
 
