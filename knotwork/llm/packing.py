@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,11 +30,14 @@ END_ID = 1
 SHARD_PIECES = 16_384
 # Text that is encoded at once: many repeated words, and ids that fit into some tens of megabytes.
 SLICE_BYTES = 4_000_000
-# Entries of a worker's memories of encoded chunks and words; those not met for longest are forgotten.
-KNOWN_CHUNKS = 320_000
-KNOWN_WORDS = 240_000
-# Longer chunks are encoded as they come and not remembered.
+# Entries of a worker's memories of encoded runs of letters and other chunks; those not met for longest are forgotten.
+KNOWN_RUNS = 1_000_000
+KNOWN_CHUNKS = 150_000
+# Longer chunks go to the full tokenizer.
 LONG_CHUNK = 48
+PUNCTUATION = ".,;:!?"
+LETTERS = "".join(chr(c) for c in [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x100)] if c not in (0xD7, 0xF7))
+PLAIN = f"^[{LETTERS}]+[{PUNCTUATION}]*$"
 
 
 def _ids(tokenizer, texts: list[str]) -> list[np.ndarray]:
@@ -46,7 +50,10 @@ def _ids(tokenizer, texts: list[str]) -> list[np.ndarray]:
 
 
 class Memory:
-    """Ids by text in two halves; when the younger half is full, the older one is forgotten."""
+    """Ids by text in two halves; when the younger half is full, the older one is forgotten.
+
+    A half holds more than its share only where one slice of text has more.
+    """
 
     def __init__(self, most: int):
         self.half = max(1, most // 2)
@@ -66,14 +73,13 @@ class Memory:
         return found
 
     def keep(self, new: dict[str, bytes]) -> None:
-        for text, ids in new.items():
-            if len(self.young) >= self.half:
-                self.old, self.young = self.young, {}
-            self.young[text] = ids
+        if len(self.young) + len(new) > self.half:
+            self.old, self.young = self.young, {}
+        self.young.update(new)
 
 
 class WordEncoder:
-    """Token ids as little-endian bytes, remembered for each chunk between blanks and each run of letters.
+    """Token ids as little-endian bytes, remembered for runs of letters and for other chunks.
 
     The vocabulary drops white space and never joins across it, so the ids of a text are the ids
     of its chunks in order. Chunks of Latin-1 letters with plain punctuation behind them are cut
@@ -83,7 +89,6 @@ class WordEncoder:
 
     def __init__(self, path: str):
         import json
-        import re
 
         from tokenizers import Tokenizer
 
@@ -95,11 +100,8 @@ class WordEncoder:
         self.ends = ends
         parts |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
         self.bare = Tokenizer.from_str(json.dumps(parts))
+        self.runs = Memory(KNOWN_RUNS)
         self.chunks = Memory(KNOWN_CHUNKS)
-        self.words = Memory(KNOWN_WORDS)
-        # Letters of Latin-1 have one-to-one lower case and nothing to compose.
-        letters = "A-Za-zÀ-ÖØ-öø-ÿ"
-        self.plain = re.compile(f"[{letters}]+[.,;:!?]*").fullmatch
         # A byte-level vocabulary writes bytes A1-AC and AE-FF as themselves and the rest of 80-FF from U+0122 on.
         other = [c for c in range(0x7F, 0xA1)] + [0xAD]
         shown = {c: chr(0x121 + i) for i, c in enumerate(other)}
@@ -107,53 +109,64 @@ class WordEncoder:
             c: "".join(shown.get(x, chr(x)) for x in chr(c).encode()) for c in range(0xC0, 0x100)
         }
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [ids.tobytes() for ids in _ids(self.tokenizer, texts)]
+    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        return [ids.tobytes() for ids in _ids(self.tokenizer, chunks)]
 
-    def _encode_runs(self, runs: list[str]) -> dict[str, bytes]:
+    def _encode_runs(self, runs: list[str]) -> list[bytes]:
         if not runs:
-            return {}
+            return []
         lines = [" ".join(runs[i : i + 20]).translate(self.as_bytes) for i in range(0, len(runs), 20)]
         ids = np.concatenate(_ids(self.bare, lines))
         cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
         raw = ids.tobytes()
-        return {run: raw[a:b] for run, a, b in zip(runs, cuts[:-1], cuts[1:], strict=True)}
-
-    def learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks that are not in the memory yet."""
-        plain, other = {}, []
-        for chunk in chunks:
-            if len(chunk) <= LONG_CHUNK and self.plain(chunk):
-                word = chunk.rstrip(".,;:!?")
-                plain[chunk] = (word.lower(), chunk[len(word) :])
-            else:
-                other.append(chunk)
-        runs = list({run for parts in plain.values() for run in parts if run})
-        words = dict(zip(runs, self.words.recall(runs)))
-        new = self._encode_runs([run for run in runs if words[run] is None])
-        words.update(new)
-        self.words.keep(new)
-        out = {chunk: words[low] + words[end] if end else words[low] for chunk, (low, end) in plain.items()}
-        out.update(zip(other, self._encode(other)))
-        return out
+        return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    @staticmethod
+    def _recalled(memory: Memory, pieces: pa.Array, encode) -> list[bytes]:
+        """Ids of distinct pieces: those in the memory, and the others encoded now."""
+        texts = pieces.to_numpy(zero_copy_only=False).tolist()
+        spelled = memory.recall(texts)
+        missing = [i for i, ids in enumerate(spelled) if ids is None]
+        new = encode([texts[i] for i in missing])
+        for i, ids in zip(missing, new):
+            spelled[i] = ids
+        memory.keep({texts[i]: ids for i, ids in zip(missing, new)})
+        return spelled
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text's ids begin and end."""
-        offsets, codes, dictionary = word_codes(texts)
-        chunks = dictionary.to_numpy(zero_copy_only=False).tolist()
-        spelled = self.chunks.recall(chunks)
-        missing = [i for i, ids in enumerate(spelled) if ids is None]
-        new = self.learn([chunks[i] for i in missing])
-        for i in missing:
-            spelled[i] = new[chunks[i]]
-        self.chunks.keep(new)
+        offsets, codes, chunks = word_codes(texts)
+        plain = pc.and_(pc.less_equal(pc.utf8_length(chunks), LONG_CHUNK), pc.match_substring_regex(chunks, PLAIN))
+        plain = np.asarray(plain, dtype=bool)
+        simple = chunks.filter(pa.array(plain))
+        # Letters of Latin-1 have one-to-one lower case and nothing to compose.
+        words = pc.dictionary_encode(pc.utf8_lower(pc.utf8_rtrim(simple, characters=PUNCTUATION)))
+        marks = pc.dictionary_encode(pc.utf8_ltrim(simple, characters=LETTERS))
+        spelled = self._recalled(self.runs, words.dictionary, self._encode_runs)
+        spelled += [self._encode_runs([mark])[0] if mark else b"" for mark in marks.dictionary.to_pylist()]
+        spelled += self._recalled(self.chunks, chunks.filter(pa.array(~plain)), self._encode_chunks)
+        spelled.append(b"")
+        # Each chunk is two pieces, of which the second may be empty.
+        pair = np.full((len(chunks), 2), len(spelled) - 1, dtype=np.int32)
+        pair[plain, 0] = np.asarray(words.indices)
+        pair[plain, 1] = np.asarray(marks.indices) + len(words.dictionary)
+        pair[~plain, 0] = len(words.dictionary) + len(marks.dictionary) + np.arange(len(chunks) - len(simple))
         sizes = np.fromiter(map(len, spelled), dtype=np.int32, count=len(spelled)) // 4
         starts = np.cumsum(sizes, dtype=np.int32) - sizes
         pool = np.frombuffer(b"".join(spelled), dtype="<u4")
-        counts = sizes[codes]
-        ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int32)])
-        at = np.arange(ends[-1], dtype=np.int32) + np.repeat(starts[codes] - ends[:-1], counts)
-        return pool[at], ends[offsets]
+        # Ids of each distinct chunk in one place, then of each chunk of the texts.
+        pool, ends = _laid_out(pool, starts, sizes, pair.ravel())
+        ends = ends[::2]
+        ids, ends = _laid_out(pool, ends[:-1], np.diff(ends), codes)
+        return ids, ends[offsets]
+
+
+def _laid_out(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``pool`` that the codes stand for, one after another, and where each begins and the last ends."""
+    counts = sizes[codes]
+    ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int32)]).astype(np.int32)
+    at = np.arange(ends[-1], dtype=np.int32) + np.repeat(starts[codes] - ends[:-1], counts)
+    return pool[at], ends
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

@@ -58,7 +58,7 @@ def test_memory_limits_do_not_change_ids(monkeypatch):
     import pyarrow as pa
 
     monkeypatch.setattr(packing, "KNOWN_CHUNKS", 3)
-    monkeypatch.setattr(packing, "KNOWN_WORDS", 2)
+    monkeypatch.setattr(packing, "KNOWN_RUNS", 2)
     encoder = packing.WordEncoder(PATH)
     for text in ["anist, berol! corin. anist", "don't l'été ÀÉß, 12 a1 'S's", "berol anist " + "x" * 500, "", " \n\t"]:
         ids, ends = encoder.encode(pa.array([text, None, text]))
