@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from knotwork.llm.topk import _matrix
+from knotwork.llm.topk import padded_matrix
 from knotwork.session import cut, scratch
 
 SCALE, SHIFT = 1024, 100_000
@@ -75,7 +75,7 @@ def component_sums(known: DataFrame) -> tuple[int, list[int]]:
                 column = batch.column(0).slice(start, SUM_ROWS)
                 sizes = np.diff(np.asarray(column.offsets))
                 width = int(sizes.max(initial=0))
-                sums = scaled(_matrix(column, width)).sum(axis=0).tolist()
+                sums = scaled(padded_matrix(column, width)).sum(axis=0).tolist()
                 counts += [0] * (width - len(counts))
                 totals += [0] * (width - len(totals))
                 for place in range(width):
@@ -148,7 +148,7 @@ def centred_blocks(known: DataFrame, n: int, sums: list[int], block_rows: int) -
         part, place, held, count = TaskContext.get().partitionId(), 0, [], 0
 
         def block(ids: pa.Array, vectors: pa.Array) -> pa.RecordBatch:
-            x = scaled(_matrix(vectors, width))
+            x = scaled(padded_matrix(vectors, width))
             values = np.zeros((block_rows, width))
             values[: len(x)] = (x - mean) - rest
             columns = [pa.array([part], pa.int32()), pa.array([place], pa.int32()), pa.array([ids.to_pylist()], pa.list_(pa.int64()))]

@@ -3,6 +3,8 @@
 import math
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from knotwork.llm import topk
 
@@ -14,17 +16,20 @@ def brute_force(rows, k=10, every=100):
     for id_, vec in rows:
         if id_ is None or vec is None or any(x is None or not math.isfinite(x) for x in vec):
             continue
-        known.setdefault(id_, []).append([math.floor(1024 * float(np.float32(x))) for x in vec])
+        held = [min(max(math.floor(1024 * float(np.float32(x))), -(2**63)), 2**63 - 1) for x in vec]
+        known.setdefault(id_, []).append(held)
     out = []
     for q in sorted(i for i in known if i % every == 0):
         query = min(known[q])
         scored = [(-sum(a * b for a, b in zip(query, v)), i) for i, vs in known.items() if i != q for v in vs]
-        out += [(q, rank, i, -s) for rank, (s, i) in enumerate(sorted(scored)[:k], 1)]
+        held = [(-min(max(-s, -(2**63)), 2**63 - 1), i) for s, i in scored]
+        out += [(q, rank, i, -s) for rank, (s, i) in enumerate(sorted(held)[:k], 1)]
     return out
 
 
 def check(spark, rows, **options):
     table = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    table = table.withColumns({name: F.lit("x") for name in ("vec", "row", "query_id", "rank", "score", "radius", "_lb", "_rb")})
     found = sorted(tuple(r) for r in topk.top_products(table, **options).collect())
     assert found == brute_force(rows, **options)
 
@@ -55,3 +60,25 @@ def test_blocks(spark, monkeypatch):
     monkeypatch.setattr(blocks, "BLOCK_ROWS", 100)
     rng = np.random.default_rng(1)
     check(spark, [(i, rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(900)], k=7, every=50)
+
+
+@pytest.mark.parametrize("size", [1e3, 1e5, 2e6, 1e9, 1e18])
+def test_scores_are_exact_at_any_size(spark, size):
+    """From 53-bit products over 64-bit ones to scores that are held at the ends of the range."""
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=8) * size
+    rows = [(i, (base + rng.integers(-3, 4, 8) * max(1.0, size * 2.0**-22)).tolist()) for i in range(400)]
+    check(spark, rows + [(500 + i, rows[7][1]) for i in range(30)])
+
+
+def test_close_scores_keep_their_order():
+    whole = np.array([[1_024_000_000, 3, 1], [1_024_000_000, 2, 3], [1_024_000_000, 1, 2]])
+    tree = topk.build(whole, np.array([7, 8, 9]))
+    query = np.array([2_048_000_000, 11, 18])
+    wanted = sorted(((int(sum(int(a) * int(b) for a, b in zip(query, row))), i) for row, i in zip(whole, (7, 8, 9))), key=lambda e: (-e[0], e[1]))
+    assert topk.search(tree, query, -1, 3) == wanted
+
+
+def test_rows_that_repeat_are_candidates_each(spark):
+    rows = [(0, [1.0, 1.0])] * 3 + [(5, [2.0, 1.0])] * 40 + [(6, [1.0, 1.0])]
+    check(spark, rows)
