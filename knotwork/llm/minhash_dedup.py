@@ -1,23 +1,30 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
 1. One pass over the texts gives each document the size and digest of its shingle set, 128 minima
-   (16 trees of 8) and a sketch of one bit for each minimum. Documents with equal sets form one
+   (16 trees of 8) and a sketch of four bits for each minimum. Documents with equal sets form one
    class; only the least id of a class goes on, so thousands of copies cost one row.
 2. Each tree sorts the classes by its 8 minima over all tasks (range partitions, so the same prefix
    may fill many tasks). Neighbours in that order whose longest common prefix reaches the depth of
    their region become candidates when their sketches agree. The depth is ``LEAST_DEPTH`` and one
-   deeper for each tenfold crowd that the window of a document meets at the lesser depth.
-3. Candidates tie classes into groups. Inside a group, links are confirmed on the full shingle
-   sets: a group is cut into blocks, each pair of blocks is one task of bounded size that compares
-   every pair in it exactly and returns a spanning forest of the links, never the pairs.
+   deeper for each tenfold crowd that the window of a document meets at the lesser depth. The rows
+   at the edges of the ranges are sorted once more among themselves, so that pairs over an edge count.
+3. Candidates tie classes into groups, and a group is cut into blocks. A class goes to the pairs of
+   blocks in which it has a candidate, so a crowd of texts that look alike costs a class no more
+   copies than it has candidates, and a group of one block one copy. Each pair of blocks is one
+   task of bounded size that compares all its classes exactly on their full shingle sets and
+   returns a spanning forest of the links, never the pairs.
 4. The least document reachable over confirmed links names the component.
 
-A pair at similarity 0.85 stays apart in all 16 trees with a chance of 2e-7.
+A pair at similarity 0.85 differs within the prefix of 3 in all 16 trees with a chance of 2e-7, and fails
+the sketch with one of 3e-7. Where more than ``WINDOW`` classes share a prefix, a pair may lie
+further apart than the window in a tree; other trees, the greater depth and the comparison of whole
+blocks make up for that.
 
 Defined results: a text without words (null, empty, blank) has ``n_shingles`` 0 and is linked with
 nothing; repeated rows and repeated ids are linked through their id; a row with a null id takes no
-part (component null, kept); further columns of the input are left aside by ``near_duplicates``
-and kept by ``keep_first``; an empty table gives an empty result.
+part (component null, kept); a text of any length is one set, held by a task as a whole; further
+columns of the input are left aside by ``near_duplicates`` and kept by ``keep_first``; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,8 +44,10 @@ TREE_HASHES = 8
 LEAST_DEPTH = 3
 # Documents before a document in the sorted order of a tree that are looked at.
 WINDOW = 8
-# Equal bits of 128 below which a pair is no candidate: at similarity 0.85 this is 5 deviations down.
-SKETCH_BITS = 102
+# Of 128 minima those whose four bits must agree in a pair: at similarity 0.85 this is 5 deviations down.
+SKETCH_EQUAL = 90
+# Rows at the edges of ranges that one task sorts.
+EDGE_ROWS = 100_000
 # Classes on each side of a pair of blocks.
 BLOCK_ROWS = 256
 # Cells of the shingle matrix of a block pair that are held at once.
@@ -68,7 +77,8 @@ def signatures(documents: DataFrame) -> DataFrame:
             if len(full):
                 rows = minima(values, np.concatenate([offsets[full], [offsets[-1]]]))
                 packed = (rows & np.uint32(0xFFFF)).astype(">u2")
-                bits = np.packbits((rows >> np.uint32(16) & np.uint32(1)).astype(np.uint8), axis=1)
+                four = (rows >> np.uint32(16) & np.uint32(15)).astype(np.uint8)
+                bits = four[:, ::2] << 4 | four[:, 1::2]
                 for place, i in enumerate(full):
                     keys[i] = packed[place].tobytes()
                     sketches[i] = bits[place].tobytes()
@@ -82,12 +92,50 @@ def signatures(documents: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, "doc_id long, n_shingles long, cls binary, keys binary, sketch binary")
 
 
+_FOURS = np.uint64(0x1111111111111111)
+
+
+def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many groups of four bits are equal in each pair of sketches."""
+    differ = a ^ b
+    differ |= differ >> np.uint64(2)
+    differ |= differ >> np.uint64(1)
+    return 16 * a.shape[1] - np.bitwise_count(differ & _FOURS).sum(axis=1, dtype=np.int64)
+
+
+_FOUND = "src long, dst long, tie boolean, edge struct<tree: int, key: binary, rep: long, sketch: binary>"
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates (src, dst) from rows tree, key, rep, sketch in the order of the forest."""
+    """Candidates (src, dst) from rows tree, key, rep, sketch in the order of the forest.
+
+    ``tie`` marks those that hold a batch's groups together. The first and last rows of the task
+    come out as ``edge``, without a pair.
+    """
     held: tuple[np.ndarray, ...] | None = None
+    first = last = None
+
+    def found(src: np.ndarray, dst: np.ndarray, ties: np.ndarray, edges: pa.RecordBatch | None = None) -> pa.RecordBatch:
+        edge_type = pa.struct([("tree", pa.int32()), ("key", pa.binary()), ("rep", pa.int64()), ("sketch", pa.binary())])
+        if edges is None:
+            edge = pa.nulls(len(src), edge_type)
+        else:
+            edge = pa.StructArray.from_arrays([c.cast(f.type) for c, f in zip(edges.columns, edge_type)], fields=list(edge_type))
+        pair = [pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array(ties, pa.bool_())]
+        if edges is not None:
+            pair = [pa.nulls(len(edge), x.type) for x in pair]
+        return pa.RecordBatch.from_arrays([*pair, edge], names=["src", "dst", "tie", "edge"])
+
     for batch in batches:
         if not len(batch):
             continue
+        if first is None:
+            first = batch.slice(0, WINDOW)
+        tail = batch.slice(max(0, len(batch) - WINDOW))
+        if last is not None and len(tail) < WINDOW:
+            both = pa.Table.from_batches([last, tail])
+            tail = both.slice(max(0, len(both) - WINDOW)).combine_chunks().to_batches()[0]
+        last = tail
         tree = np.asarray(batch.column(0))
         key = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=">u2").reshape(-1, TREE_HASHES)
         rep = np.asarray(batch.column(2))
@@ -111,27 +159,37 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for back in range(1, WINDOW + 1):
             at = np.flatnonzero(shared[back - 1] >= depth)
             at = at[(at >= fresh) & (at >= back)]
-            agree = 8 * sketch.shape[1] * 8 - np.bitwise_count(sketch[at] ^ sketch[at - back]).sum(axis=1, dtype=np.int64)
-            at = at[agree >= SKETCH_BITS]
+            at = at[_agreeing(sketch[at], sketch[at - back]) >= SKETCH_EQUAL]
             src.append(rep[at])
             dst.append(rep[at - back])
-        # What ties a batch's classes into groups is enough: a dense region gives a row a class, not a row a pair.
+        a, b = np.concatenate(src), np.concatenate(dst)
+        a, b = np.maximum(a, b)[a != b], np.minimum(a, b)[a != b]
         forest = Forest()
-        pairs = zip(np.concatenate(src).tolist(), np.concatenate(dst).tolist())
-        ties = [(max(a, b), min(a, b)) for a, b in pairs if a != b and forest.union(a, b)]
-        columns = [pa.array([t[side] for t in ties], pa.int64()) for side in (0, 1)]
-        yield pa.RecordBatch.from_arrays(columns, names=["src", "dst"])
+        ties = np.fromiter((forest.union(x, y) for x, y in zip(a.tolist(), b.tolist())), bool, len(a))
+        yield found(a, b, ties)
         held = tuple(x[-WINDOW:] for x in (tree, key, rep, sketch))
+    if first is not None:
+        for edges in (first, last):
+            yield found(np.zeros(0), np.zeros(0), np.zeros(0, bool), edges)
 
 
 def forest_candidates(classes: DataFrame) -> DataFrame:
-    """src, dst (larger and smaller rep) of neighbours in any tree."""
+    """src, dst (larger and smaller rep), tie of neighbours in any tree."""
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
     rows = classes.select(tree.alias("tree"), "rep", "keys", "sketch").select(
         "tree", F.expr(f"substring(keys, tree * {_KEY_BYTES} + 1, {_KEY_BYTES})").alias("key"), "rep", "sketch"
     )
-    placed = rows.repartitionByRange("tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
-    return placed.mapInArrow(_neighbours, "src long, dst long").distinct()
+    placed, pairs, last = rows.repartitionByRange("tree", "key", "rep"), None, False
+    while True:
+        found = cut(placed.sortWithinPartitions("tree", "key", "rep").mapInArrow(_neighbours, _FOUND))
+        level = found.filter(F.col("src").isNotNull()).select("src", "dst", "tie")
+        pairs = level if pairs is None else pairs.unionByName(level)
+        if last:
+            return pairs.groupBy("src", "dst").agg(F.max("tie").alias("tie"))
+        edges = found.filter(F.col("src").isNull()).select("edge.*").distinct()
+        count = edges.count()
+        last = count <= EDGE_ROWS
+        placed = edges.coalesce(1) if last else edges.repartitionByRange(-(-count // EDGE_ROWS), "tree", "key", "rep")
 
 
 def _links(table: pa.Table, percent: int) -> pa.Table:
@@ -170,27 +228,46 @@ def _links(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
 
-def confirmed_links(documents: DataFrame, classes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """src, dst: links that hold the components of each candidate group together, exact on full sets."""
+def wanted_blocks(candidates: DataFrame, groups: DataFrame) -> DataFrame:
+    """rep, component, own, others: each class's block in its group, and the blocks that hold a candidate of it."""
     sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
-    members = groups.join(sizes, "component").join(classes.select(F.col("rep").alias("key"), "cls"), "key")
-    joined = members.join(documents.select(F.col("doc_id").cast("long").alias("key"), "text"), "key")
+    members = groups.join(sizes, "component")
+    joined = candidates.join(members, F.col("src") == F.col("key"))
+
+    def block(column: str):
+        return F.pmod(F.xxhash64(column), F.col("blocks")).cast("int")
+
+    both = F.array(
+        F.struct(F.col("src").alias("rep"), block("src").alias("own"), block("dst").alias("other")),
+        F.struct(F.col("dst").alias("rep"), block("dst").alias("own"), block("src").alias("other")),
+    )
+    ends = joined.select("component", F.inline(both))
+    return ends.groupBy("rep", "component", "own").agg(F.collect_set("other").alias("others"))
+
+
+def confirmed_links(documents: DataFrame, classes: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
+    """src, dst: links that hold the classes together that ``wanted`` brings to the same pair of blocks, exact on full sets."""
+    members = wanted.join(classes.select("rep", "cls"), "rep")
+    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # rows that repeat meet in one task, and one of them is enough
         for batch in text_slices(batches):
-            values, offsets = shingle_sets(batch.column(4))
+            values, offsets = shingle_sets(batch.column(5))
             own = [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
-            same = np.array([set_digest(s) == c for s, c in zip(own, batch.column(3).to_pylist())], dtype=bool)
+            fresh = []
+            for rep, found, cls in zip(batch.column(0).to_pylist(), own, batch.column(4).to_pylist()):
+                fresh.append(rep not in seen and set_digest(found) == cls)
+                if fresh[-1]:
+                    seen.add(rep)
             shingles = pa.array([s.tobytes() for s in own], pa.binary())
-            out = pa.RecordBatch.from_arrays([*batch.columns[:3], shingles], names=["rep", "component", "blocks", "shingles"])
-            yield out.filter(pa.array(same))
+            out = pa.RecordBatch.from_arrays([*batch.columns[:4], shingles], names=["rep", "component", "own", "others", "shingles"])
+            yield out.filter(pa.array(fresh, pa.bool_()))
 
-    rows = joined.select("key", "component", "blocks", "cls", "text").mapInArrow(
-        sets, "rep long, component long, blocks int, shingles binary"
+    rows = members.join(texts, "rep").select("rep", "component", "own", "others", "cls", "text").mapInArrow(
+        sets, "rep long, component long, own int, others array<int>, shingles binary"
     )
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    spread = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = spread.select(
+    pairs = rows.withColumn("other", F.explode("others")).select(
         "component",
         F.least("own", "other").alias("low"),
         F.greatest("own", "other").alias("high"),
@@ -210,9 +287,10 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
             F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")
         )
     )
-    groups = cut(components(forest_candidates(classes)))
+    candidates = cut(forest_candidates(classes))
+    groups = components(candidates.filter("tie"))
     # Written, so that no task holds two Python workers at once.
-    links = cut(confirmed_links(documents, classes, groups, percent))
+    links = cut(confirmed_links(documents, classes, wanted_blocks(candidates, groups), percent))
     # Rows that repeat an id with another text tie their classes together.
     again = with_words.groupBy("doc_id").agg(F.min("cls").alias("cls"), F.max("cls").alias("last")).filter("cls <> last")
     ties = (

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from cases import clashing, document, frame, odd_documents, words
 
 from knotwork.llm import minhash_dedup
@@ -63,6 +64,44 @@ def test_large_group_is_cut_into_blocks(spark, monkeypatch):
     check(spark, [document(i, edited(base, i, i % 9)) for i in range(300)])
 
 
+def crowd(count, shared, own):
+    """Texts with the same first words and others of their own, in pieces so that many shingles are shared."""
+    base = words(11, shared)
+    return [document(i, " ".join(base + [f"own{i}x{j}" for j in range(own)])) for i in range(count)]
+
+
+@pytest.mark.parametrize(("shared", "own"), [(60, 40), (80, 28), (90, 13)])
+def test_crowds_that_look_alike_cost_few_copies(spark, monkeypatch, shared, own):
+    """Mutual similarities of about 0.4, 0.6 and 0.8 link nothing; copies are bounded by candidates, not by blocks."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK_ROWS", 4)
+    rows = crowd(500, shared, own)
+    classes = minhash_dedup.signatures(frame(spark, rows)).withColumnRenamed("doc_id", "rep").cache()
+    candidates = minhash_dedup.forest_candidates(classes).cache()
+    groups = minhash_dedup.components(candidates.filter("tie"))
+    wanted = minhash_dedup.wanted_blocks(candidates, groups)
+    copies = wanted.selectExpr("coalesce(sum(size(others)), 0) as n").first().n
+    pairs = candidates.count()
+    assert copies <= 2 * pairs <= 2 * 500 * minhash_dedup.TREES * minhash_dedup.WINDOW
+    if own == 40:
+        assert pairs < 50
+    check(spark, rows + [document(1000 + i, r.text + " more") for i, r in enumerate(rows[:40])])
+
+
+def test_pairs_over_the_edges_of_ranges_count(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "EDGE_ROWS", 30)
+    rows = [document(i, edited(words(i // 2, 120), i, 2 * (i % 2))) for i in range(60)]
+    classes = minhash_dedup.signatures(frame(spark, rows)).withColumnRenamed("doc_id", "rep").cache()
+    found = {(r.src, r.dst) for r in minhash_dedup.forest_candidates(classes).collect()}
+    ordered = minhash_dedup.forest_candidates(classes.coalesce(1)).collect()
+    assert {(2 * i + 1, 2 * i) for i in range(30)} <= found
+    assert found >= {(r.src, r.dst) for r in ordered if r.src - r.dst == 1 and r.dst % 2 == 0}
+
+
+def test_rows_that_repeat_send_one_set(spark):
+    rows = [document(1, edited(words(1, 80), 1, 1))] * 300 + [document(2, edited(words(1, 80), 2, 1))] * 300
+    check(spark, rows + [document(3, "other words")])
+
+
 def test_odd_rows(spark):
     check(spark, odd_documents())
 
