@@ -81,10 +81,22 @@ def cut(df: DataFrame) -> DataFrame:
     return written
 
 
+def discard(state: DataFrame) -> None:
+    """Removes the files of loop state that ``cut`` wrote and nothing reads any more."""
+    path = getattr(state, "_knotwork_path", None)
+    if path:
+        _remove(state.sparkSession, path)
+
+
+def replace(written: DataFrame, part: DataFrame) -> DataFrame:
+    """``part`` of a written table as loop state: it is discarded with the table."""
+    part._knotwork_path = getattr(written, "_knotwork_path", None)
+    return part
+
+
 def renew(old: DataFrame | None, df: DataFrame) -> DataFrame:
     """``cut`` for loop state: once the new state is written, the files of the old one are removed."""
     new = cut(df)
-    path = getattr(old, "_knotwork_path", None)
-    if path:
-        _remove(new.sparkSession, path)
+    if old is not None:
+        discard(old)
     return new

@@ -219,20 +219,68 @@ def test_patterns_must_be_connected(spark):
     assert pairs.count() == 12
 
 
+@pytest.mark.parametrize("side", ["tail", "head"])
 @pytest.mark.parametrize("model", kge.MODELS)
-def test_gradients_match_differences(model):
+def test_gradients_match_differences(model, side):
     local = np.random.default_rng(3)
     width = 6 if model in ("complex", "rotate") else 3
-    h, t = local.normal(size=(2, 1, width))
-    r = local.normal(size=(1, 3 if model == "rotate" else width))
-    _, *slopes = kge._gradients(model, h, r, t)
+    known, end = local.normal(size=(2, 4, width))
+    relation = local.normal(size=(4, 3 if model == "rotate" else width))
+    drawn = local.normal(size=(5, width))
+    weight, own = local.normal(size=(4, 5)), local.normal(size=4)
+
+    def total(known, relation, end, drawn):
+        query, _ = kge.queries_and_slopes(model, known, relation, side)
+        return (kge.candidate_scores(model, query, drawn)[0] * weight).sum() + (kge.own_scores(model, query, end)[0] * own).sum()
+
+    query, query_back = kge.queries_and_slopes(model, known, relation, side)
+    by_query, by_drawn = kge.candidate_scores(model, query, drawn)[1](weight)
+    more, by_end = kge.own_scores(model, query, end)[1](own)
+    slopes = [*query_back(by_query + more), by_end, by_drawn]
+    parts = [known, relation, end, drawn]
     for which, slope in enumerate(slopes):
-        for i in range(slope.shape[1]):
-            up, down = [[x.copy() for x in (h, r, t)] for _ in range(2)]
-            up[which][0, i] += 1e-6
-            down[which][0, i] -= 1e-6
-            change = (kge._gradients(model, *up)[0] - kge._gradients(model, *down)[0]) / 2e-6
-            assert slope[0, i] == pytest.approx(change[0], abs=1e-6)
+        for i in np.ndindex(slope.shape):
+            up, down = [[x.copy() for x in parts] for _ in range(2)]
+            up[which][i] += 1e-6
+            down[which][i] -= 1e-6
+            assert slope[i] == pytest.approx((total(*up) - total(*down)) / 2e-6, abs=1e-5)
+
+
+@pytest.mark.parametrize("buckets", [1, 2, 8])
+def test_each_round_pairs_disjoint_buckets_and_all_pairs_meet(spark, buckets):
+    every = spark.range(buckets).selectExpr("cast(id as int) as a").crossJoin(spark.range(buckets).selectExpr("cast(id as int) as b"))
+    met = {(r.a, r.b): r.m for r in every.select("a", "b", kge.meeting(F.col("a"), F.col("b"), buckets).alias("m")).collect()}
+    for round_ in range(max(1, buckets - 1)):
+        mates = dict(map(tuple, spark.range(buckets).select("id", kge.partner(F.col("id").cast("int"), round_, buckets)).collect()))
+        assert all(mates[mates[i]] == i for i in mates) and (buckets == 1 or all(mates[i] != i for i in mates))
+        assert all(met[i, mates[i]] == round_ for i in mates)
+
+
+def ring(spark, nodes=240):
+    links = [(i, k, (i * (k + 1) + 7 * k) % nodes) for i in range(nodes) for k in range(4)]
+    return spark.createDataFrame(links, "head long, relation long, tail long").distinct()
+
+
+@pytest.mark.parametrize(("model", "buckets"), [("transe", 8), ("rotate", 1), ("rotate", 2), ("rotate", 8), ("complex", 2)])
+def test_losses_fall_with_any_number_of_buckets(spark, model, buckets):
+    _, _, losses = kge.train_kge(ring(spark), model, dim=16, epochs=20, batch=32, buckets=buckets, passes=10)
+    assert np.mean(losses[:10]) > np.mean(losses[10:]) and losses[-1] < 0.75 * losses[0]
+
+
+def test_state_files_of_a_training_go_with_its_rounds(spark):
+    from pathlib import Path
+
+    from knotwork.session import scratch
+
+    folder = Path(scratch(spark, "x")).parent
+    before = {p.name for p in folder.glob("*")}
+    kge.train_kge(ring(spark), "transe", dim=4, epochs=9, batch=32, buckets=4, passes=3)
+    assert len({p.name for p in folder.glob("*")} - before) <= 6
+
+
+def test_training_needs_triples(spark):
+    with pytest.raises(ValueError):
+        kge.train_kge(ring(spark).limit(0))
 
 
 def test_training_beats_chance(spark):
