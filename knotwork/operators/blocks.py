@@ -19,6 +19,16 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 16_384
 # Rows of the left block that are multiplied at once, to bound the distance matrix.
 STRIP_ROWS = 512
+STRIP_CELLS = STRIP_ROWS * BLOCK_ROWS
+# A squared distance below this share of the lengths is measured by differences, a few pairs at once.
+CANCELLED = 1e-4
+MEASURED_PAIRS = 65_536
+# Squared distances that agree to this share are told apart by differences.
+CLOSE_CALL = 1e-8
+# Rows that a tile holds while the others stream past: 65536 x 64 doubles are 32 MB.
+HELD_ROWS = 65_536
+# Pairs of rows in a tile.
+TILE_PAIRS = 2**34
 
 
 def matrix(column) -> np.ndarray:
@@ -36,17 +46,56 @@ def list_column(values: np.ndarray, kind=np.float64) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(values, dtype=kind).ravel()))
 
 
+def measured(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Squared distances of the pairs (a[i], b[j]) from their differences, without cancellation."""
+    out = np.empty(len(i))
+    for start in range(0, len(i), MEASURED_PAIRS):
+        part = slice(start, start + MEASURED_PAIRS)
+        out[part] = ((a[i[part]] - b[j[part]]) ** 2).sum(axis=1)
+    return out
+
+
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """All squared distances through one matrix product; tiny rounding residues become 0."""
-    aa, bb = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+    """All squared distances, to about ten digits whatever offset the vectors share.
+
+    One matrix product round a common centre gives most of them; pairs that are close against their
+    distance from the centre, where it would cancel, are measured by their differences.
+    """
+    if not len(a) or not len(b):
+        return np.zeros((len(a), len(b)))
+    centre = b.mean(axis=0)
+    near_a, near_b = a - centre, b - centre
+    aa, bb = np.einsum("ij,ij->i", near_a, near_a), np.einsum("ij,ij->i", near_b, near_b)
     scale = aa[:, None] + bb[None, :]
-    out = scale - 2.0 * (a @ b.T)
-    out[out < scale * 1e-14] = 0.0
+    out = scale - 2.0 * (near_a @ near_b.T)
+    i, j = np.nonzero(out < scale * CANCELLED)
+    out[i, j] = measured(a, b, i, j)
     return out
 
 
-def strips(rows: int) -> list[slice]:
-    return [slice(start, min(start + STRIP_ROWS, rows)) for start in range(0, rows, STRIP_ROWS)]
+def nearest_rows(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of ``a`` the place of the nearest row of ``b``, the first on a tie, and the distance.
+
+    Whoever comes close to the least is measured directly, so neither the offset of the vectors nor
+    the block that a row falls into decides.
+    """
+    place, distance = np.empty(len(a), dtype=np.int64), np.empty(len(a))
+    for strip in strips(len(a), len(b)):
+        rows = a[strip]
+        squares = squared_distances(rows, b)
+        i, j = np.nonzero(squares <= squares.min(axis=1, keepdims=True) * (1 + CLOSE_CALL))
+        exact = measured(rows, b, i, j)
+        order = np.lexsort([j, exact, i])
+        first = np.searchsorted(i[order], np.arange(len(rows)))
+        place[strip] = j[order][first]
+        distance[strip] = np.sqrt(exact[order][first])
+    return place, distance
+
+
+def strips(rows: int, columns: int = BLOCK_ROWS) -> list[slice]:
+    """Parts of the rows whose products with this many columns have a bounded number of cells."""
+    step = max(1, min(STRIP_ROWS, STRIP_CELLS // max(columns, 1)))
+    return [slice(start, min(start + step, rows)) for start in range(0, rows, step)]
 
 
 def block_count(rows: int, spread: int = 1) -> int:
@@ -81,6 +130,72 @@ def block_join(
     return a.groupBy("_lb", "_rb").cogroup(b.groupBy("_lb", "_rb")).applyInArrow(work, schema)
 
 
+def tile_sides(left_rows: int, right_rows: int, tasks: int) -> tuple[int, int]:
+    """Parts of the left and of the right side: each left row is copied to all right parts and the other way round.
+
+    The right parts fit into memory; left parts of any size stream past, so there are only as many as
+    keep ``tasks`` busy and a tile's work bounded. Both numbers are about the root of the tiles at most.
+    """
+    root = max(1, math.isqrt(tasks))
+    right = max(math.ceil(right_rows / HELD_ROWS), min(root, math.ceil(right_rows / 256)), 1)
+    held = math.ceil(right_rows / right)
+    left = max(math.ceil(left_rows * held / TILE_PAIRS), min(math.ceil(tasks / right), math.ceil(left_rows / 256)), 1)
+    return left, right
+
+
+def tile_join(
+    left: DataFrame,
+    right: DataFrame,
+    left_key: str,
+    right_key: str,
+    work: Callable[[pa.Table], Callable[[pa.Table], pa.Table]],
+    schema: str,
+    left_rows: int,
+    right_rows: int,
+) -> DataFrame:
+    """A square grid of tiles: ``work(right part)`` is called on each batch of the left part.
+
+    A tile holds its right part and lets its left part stream past.
+    """
+    tasks = left.sparkSession.sparkContext.defaultParallelism
+    left_parts, right_parts = tile_sides(left_rows, right_rows, tasks)
+    names = {"_l": F.struct(*left.columns), "_r": F.struct(*right.columns)}
+
+    def side(rows: DataFrame, own: str, key: str, number: int, parts: int, others: int) -> DataFrame:
+        place = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
+        return rows.select(place.alias("_own"), every.alias("_other"), F.lit(number).alias("_side"), names[own].alias(own))
+
+    a = side(left, "_l", left_key, 1, left_parts, right_parts)
+    b = side(right, "_r", right_key, 0, right_parts, left_parts)
+    a = a.select((F.col("_own") * right_parts + F.col("_other")).alias("_tile"), "_side", "_l")
+    b = b.select((F.col("_other") * right_parts + F.col("_own")).alias("_tile"), "_side", "_r")
+    both = a.unionByName(b, allowMissingColumns=True)
+    placed = both.repartition(left_parts * right_parts, "_tile").sortWithinPartitions("_tile", "_side")
+
+    def run(batches):
+        tile, held, ready = None, [], None
+        for batch in batches:
+            code = 2 * np.asarray(batch.column(0), dtype=np.int64) + np.asarray(batch.column(1))
+            cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)]
+            for low, high in zip(cuts[:-1], cuts[1:]):
+                if low == high:
+                    continue
+                part, now = batch.slice(low, high - low), int(code[low])
+                if now // 2 != tile:
+                    tile, held, ready = now // 2, [], None
+                column = part.column(part.schema.get_field_index("_l" if now % 2 else "_r"))
+                rows = pa.Table.from_arrays(column.flatten(), names=[f.name for f in column.type])
+                if not now % 2:
+                    held.append(rows)
+                elif held:
+                    if ready is None:
+                        ready = work(pa.concat_tables(held).combine_chunks())
+                    yield from ready(rows).combine_chunks().to_batches()
+
+    return placed.select("_tile", "_side", "_l", "_r").mapInArrow(run, schema)
+
+
 def nearest_center(points: DataFrame, centers: np.ndarray, vec: str = "vec") -> DataFrame:
     """Adds ``cell`` (place of the nearest center, the first on a tie) and ``radius`` (distance to it).
 
@@ -92,13 +207,9 @@ def nearest_center(points: DataFrame, centers: np.ndarray, vec: str = "vec") ->
     def assign(batches):
         for batch in batches:
             vectors = matrix(batch.column(batch.schema.get_field_index(vec)))
-            cell = np.zeros(len(vectors), dtype=np.int32)
-            radius = np.zeros(len(vectors))
-            for strip in strips(len(vectors)):
-                cell[strip] = squared_distances(vectors[strip], shared.value).argmin(axis=1)
-                radius[strip] = np.sqrt(((vectors[strip] - shared.value[cell[strip]]) ** 2).sum(axis=1))
+            cell, radius = nearest_rows(vectors, shared.value)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(cell), pa.array(radius)], names=[*batch.schema.names, "cell", "radius"]
+                [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(radius)], names=[*batch.schema.names, "cell", "radius"]
             )
 
     return points.mapInArrow(assign, schema)

@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.functions import arrays
-from knotwork.operators.blocks import block_join, list_column, matrix, squared_distances, strips
+from knotwork.operators.blocks import block_join, list_column, matrix, measured, nearest_rows, squared_distances, strips, tile_join
 from knotwork.operators.skew import attach_row
 
 NOISE = -1
+# Centers of at most this size are held by every task.
+HELD_BYTES = 64_000_000
 
 
 def dimension(points: DataFrame, vec: str = "vec") -> int:
@@ -92,13 +94,39 @@ def global_centroid(points: DataFrame, vec: str = "vec") -> DataFrame:
     return points.agg(mean_vector(dimension(points, vec), vec).alias("centroid"))
 
 
+def _held_centers(centers: DataFrame) -> pa.Table | None:
+    """The centers by cluster, if a count shows that they fit into every task."""
+    count = centers.count()
+    if not count or count * dimension(centers, "centroid") * 8 > HELD_BYTES:
+        return None
+    return centers.select("cluster", "centroid").orderBy("cluster").toArrow().combine_chunks()
+
+
 def nearest_centroid(points: DataFrame, centers: DataFrame) -> DataFrame:
     """Adds ``nearest`` and ``nearest_distance``; the least cluster wins a tie.
 
-    Points and centers meet as pairs of blocks, whatever their number; a block pair gives each
-    point its nearest center there, and the least (distance, cluster) of a point is kept. Clusters
-    keep their type. Keys must be unique.
+    Centers that a count shows to be small are held by every task and the points stay where they
+    are. Beyond that points and centers meet as pairs of blocks and the least (distance, cluster) of a
+    point is kept; both ways decide on directly measured distances. Clusters keep their type. Keys must be unique.
     """
+    kind = dict(centers.dtypes)["cluster"]
+    held = _held_centers(centers)
+    if held is not None:
+        shared = points.sparkSession.sparkContext.broadcast((matrix(held.column("centroid")), held.column("cluster").combine_chunks()))
+        schema = points.select("*", F.lit(None).cast(kind).alias("nearest"), F.lit(0.0).alias("nearest_distance")).schema
+
+        def assign(batches):
+            for batch in batches:
+                others, names = shared.value
+                place, distance = nearest_rows(matrix(batch.column(batch.schema.get_field_index("vec"))), others)
+                columns = [*batch.columns, names.take(pa.array(place)), pa.array(distance)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "nearest", "nearest_distance"])
+
+        return points.mapInArrow(assign, schema)
+    return _nearest_by_blocks(points, centers)
+
+
+def _nearest_by_blocks(points: DataFrame, centers: DataFrame) -> DataFrame:
     columns = points.columns
     left = points.select(F.col("key").alias("_key"), F.col("vec").alias("_vec"))
     right = centers.select("cluster", "centroid")
@@ -111,11 +139,7 @@ def nearest_centroid(points: DataFrame, centers: DataFrame) -> DataFrame:
             empty = [rows.column("_key").slice(0, 0), near.column("cluster").slice(0, 0), pa.array([], pa.float64())]
             return pa.table(empty, names=names)
         near = near.sort_by("cluster")
-        own, others = matrix(rows.column("_vec")), matrix(near.column("centroid"))
-        place = np.empty(len(own), dtype=np.int64)
-        for strip in strips(len(own)):
-            place[strip] = squared_distances(own[strip], others).argmin(axis=1)
-        distance = np.sqrt(((own - others[place]) ** 2).sum(axis=1))
+        place, distance = nearest_rows(matrix(rows.column("_vec")), matrix(near.column("centroid")))
         return pa.table([rows.column("_key"), near.column("cluster").take(pa.array(place)), pa.array(distance)], names=names)
 
     found = block_join(left, right, "_key", "cluster", work, schema, points.count(), centers.count())
@@ -127,12 +151,27 @@ def nearest_centroid(points: DataFrame, centers: DataFrame) -> DataFrame:
 def pairwise_distance(points: DataFrame, centers: DataFrame) -> DataFrame:
     """key, cluster, distance for each point and centroid; one row per point and center is the result itself.
 
-    The centers travel as one array, so there is no product of two tables.
+    Points stream past parts of the centers, whatever their number.
     """
-    packed = centers.agg(F.sort_array(F.collect_list(F.struct("cluster", "centroid"))).alias("_centers"))
-    rows = attach_row(points.select("key", "vec"), packed)
-    one = rows.select("key", "vec", F.explode("_centers").alias("_c"))
-    return one.select("key", F.col("_c.cluster").alias("cluster"), arrays.distance(F.col("vec"), F.col("_c.centroid")).alias("distance"))
+    left, right = points.select("key", "vec"), centers.select("cluster", "centroid")
+    kinds = dict(left.dtypes)["key"], dict(right.dtypes)["cluster"]
+
+    def work(near: pa.Table):
+        near = near.sort_by("cluster")
+        others, names = matrix(near.column("centroid")), near.column("cluster").combine_chunks()
+
+        def measure(rows: pa.Table) -> pa.Table:
+            own, parts = matrix(rows.column("vec")), []
+            keys = rows.column("key").combine_chunks()
+            for strip in strips(len(own), len(others)):
+                i, j = np.indices((strip.stop - strip.start, len(others))).reshape(2, -1)
+                distance = np.sqrt(measured(own[strip], others, i, j))
+                parts.append(pa.table([keys.take(pa.array(i + strip.start)), names.take(pa.array(j)), pa.array(distance)], names=["key", "cluster", "distance"]))
+            return pa.concat_tables(parts)
+
+        return measure
+
+    return tile_join(left, right, "key", "cluster", work, f"key {kinds[0]}, cluster {kinds[1]}, distance double", points.count(), centers.count())
 
 
 def centroid_distances(points: DataFrame, train: Column, cluster: str = "cluster") -> DataFrame:
@@ -155,44 +194,37 @@ def centroid_distances(points: DataFrame, train: Column, cluster: str = "cluster
     )
 
 
-def _distance_sums(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Distance sum and row count from each left row to each cluster of the right block."""
-    schema = pa.schema(
-        [("key", left.schema.field("key").type), ("own", pa.int64()), ("cluster", pa.int64()), ("total", pa.float64()), ("members", pa.int64())]
-    )
-    if left.num_rows == 0 or right.num_rows == 0:
-        return schema.empty_table()
-    a, b = matrix(left.column("vec")), matrix(right.column("vec"))
+def _distance_sums(right: pa.Table):
+    """Distance sum and row count from each row that streams past to each cluster of the part."""
+    b = matrix(right.column("vec"))
     names, place = np.unique(right.column("cluster").to_numpy(), return_inverse=True)
     order = np.argsort(place, kind="stable")
     bounds = np.searchsorted(place[order], np.arange(len(names)))
-    members = np.bincount(place)
-    totals = np.empty((len(a), len(names)))
-    for strip in strips(len(a)):
-        totals[strip] = np.add.reduceat(np.sqrt(squared_distances(a[strip], b[order])), bounds, axis=1)
-    rows = pa.array(np.repeat(np.arange(len(a)), len(names)))
-    return pa.table(
-        [
-            left.column("key").take(rows),
-            left.column("cluster").take(rows),
-            pa.array(np.tile(names, len(a))),
-            pa.array(totals.ravel()),
-            pa.array(np.tile(members, len(a))),
-        ],
-        schema=schema,
-    )
+    members, b = np.bincount(place), b[order]
+
+    def sums(left: pa.Table) -> pa.Table:
+        a = matrix(left.column("vec"))
+        totals = np.empty((len(a), len(names)))
+        for strip in strips(len(a), len(b)):
+            totals[strip] = np.add.reduceat(np.sqrt(squared_distances(a[strip], b)), bounds, axis=1)
+        rows = pa.array(np.repeat(np.arange(len(a)), len(names)))
+        columns = [left.column("key").take(rows), left.column("cluster").take(rows), pa.array(np.tile(names, len(a)))]
+        columns += [pa.array(totals.ravel()), pa.array(np.tile(members, len(a)))]
+        return pa.table(columns, names=["key", "own", "cluster", "total", "members"])
+
+    return sums
 
 
 def silhouette_samples(points: DataFrame, cluster: str = "cluster") -> DataFrame:
     """key, own, silhouette with Euclidean distance on non-noise rows; singletons are 0.
 
-    The measure needs every distance. Blocks of rows are multiplied and only sums per row and
-    cluster leave a task.
+    The measure needs every distance. Rows stream past parts of the rows and only sums per row and
+    cluster of the part leave a task.
     """
     rows = points.filter(F.col(cluster) != NOISE).select("key", F.col(cluster).cast("long").alias("cluster"), "vec")
     count = rows.count()
     kind = rows.schema["key"].dataType.simpleString()
-    sums = block_join(
+    sums = tile_join(
         rows, rows, "key", "key", _distance_sums, f"key {kind}, own long, cluster long, total double, members long", count, count
     )
     merged = sums.groupBy("key", "own", "cluster").agg(F.sum("total").alias("total"), F.sum("members").alias("members"))
