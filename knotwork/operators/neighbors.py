@@ -37,7 +37,7 @@ def _shortlist(k: int, drop_self: bool):
         if drop_self:
             own = pd.Index(base.column("dst").to_pandas()).get_indexer(queries.column("src").to_pandas())
         left, right, distance = [], [], []
-        for strip in strips(len(q)):
+        for strip in strips(len(q), len(b)):
             approximate = squared_distances(q[strip], b)
             selves = np.flatnonzero(own[strip] >= 0)
             approximate[selves, own[strip][selves]] = np.inf
@@ -147,6 +147,38 @@ def knn(
     return out.select("src", "_item.dst", "_item.distance", (F.col("_place") + 1).alias("place"))
 
 
+def cell_pivots(base: DataFrame, cells: int) -> np.ndarray:
+    """Centers of cells: the vectors of some rows of ``base`` (a key and vec), drawn by hash."""
+    key = base.columns[0]
+    sample = base.orderBy(F.xxhash64(key), key).limit(cells).select("vec").collect()
+    return np.array([row["vec"] for row in sample], dtype=np.float64)
+
+
+def meet_in_cells(left: DataFrame, right: DataFrame, block_rows: int, work, schema: str, spread: bool) -> DataFrame:
+    """``work`` on the rows of ``left`` (src, cell) and ``right`` (dst, cell) in each cell, large cells in
+    blocks of bounded size; ``spread`` deals the left rows of a single cell to all cores."""
+    tasks = left.sparkSession.sparkContext.defaultParallelism if spread else 1
+    sizes = right.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"))
+    visits = left.groupBy("cell").agg(F.count(F.lit(1)).alias("visits"))
+    blocks = F.greatest(F.ceil(F.col("visits") / block_rows), F.least(F.lit(tasks), F.ceil(F.col("visits") / 256)))
+    # One row for each cell, at most MAX_CELLS.
+    layout = F.broadcast(
+        sizes.join(visits, "cell").select(
+            "cell", F.ceil(F.col("rows") / block_rows).cast("int").alias("chunks"), blocks.cast("int").alias("blocks")
+        )
+    )
+
+    def every(count: str):
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    right = right.join(layout, "cell").withColumn("chunk", F.pmod(F.xxhash64("dst"), F.col("chunks")).cast("int"))
+    right = right.withColumn("block", every("blocks")).drop("chunks", "blocks")
+    left = left.join(layout, "cell").withColumn("block", F.pmod(F.xxhash64("src"), F.col("blocks")).cast("int"))
+    left = left.withColumn("chunk", every("chunks")).drop("chunks", "blocks")
+    group = ["cell", "chunk", "block"]
+    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(work, schema)
+
+
 def _search(
     points: DataFrame, k: int, queries: DataFrame, drop_self: bool, probes: int | None, block_rows: int
 ) -> DataFrame:
@@ -157,7 +189,6 @@ def _search(
     cells and is then approximate. Cells larger than a block are split, so a crowded region is
     many tasks, and each task returns at most k rows per query.
     """
-    spark = points.sparkSession
     base = points.select(F.col("key").alias("dst"), "vec")
     rows = base.count()
     asked = queries.select(F.col("key").alias("src"), "vec")
@@ -166,8 +197,7 @@ def _search(
         placed = base.withColumn("cell", F.lit(0))
         routed = asked.withColumn("cell", F.lit(0))
     else:
-        sample = base.orderBy(F.xxhash64("dst"), "dst").limit(cells).select("vec").collect()
-        pivots = np.array([row["vec"] for row in sample], dtype=np.float64)
+        pivots = cell_pivots(base, cells)
         placed = cut(nearest_center(base, pivots))
         wanted = k + 1 if drop_self else k
         near = Window.partitionBy("cell").orderBy("radius")
@@ -188,29 +218,9 @@ def _search(
         route = _router(pivots, radii, closest, wanted, probes)
         routed = cut(asked.mapInArrow(route, schema)).withColumn("cell", F.explode("cells")).drop("cells")
         placed = placed.drop("radius")
-    sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"))
-    visits = routed.groupBy("cell").agg(F.count(F.lit(1)).alias("visits"))
-    spread = spark.sparkContext.defaultParallelism if cells == 1 else 1
-    blocks = F.greatest(F.ceil(F.col("visits") / block_rows), F.least(F.lit(spread), F.ceil(F.col("visits") / 256)))
-    # One row for each cell, at most MAX_CELLS.
-    layout = F.broadcast(
-        sizes.join(visits, "cell").select(
-            "cell", F.ceil(F.col("rows") / block_rows).cast("int").alias("chunks"), blocks.cast("int").alias("blocks")
-        )
-    )
-
-    def every(count: str):
-        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-
-    right = placed.join(layout, "cell").withColumn("chunk", F.pmod(F.xxhash64("dst"), F.col("chunks")).cast("int"))
-    right = right.withColumn("block", every("blocks")).drop("chunks", "blocks")
-    left = routed.join(layout, "cell").withColumn("block", F.pmod(F.xxhash64("src"), F.col("blocks")).cast("int"))
-    left = left.withColumn("chunk", every("chunks")).drop("chunks", "blocks")
-    left = left.withColumnRenamed("vec", "query_vec")
-    group = ["cell", "chunk", "block"]
     kind = asked.schema["src"].dataType.simpleString()
-    lists = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(
-        _shortlist(k, drop_self), f"src {kind}, dst {kind}, distance double"
+    lists = meet_in_cells(
+        routed.withColumnRenamed("vec", "query_vec"), placed, block_rows, _shortlist(k, drop_self), f"src {kind}, dst {kind}, distance double", spread=cells == 1
     )
     order = Window.partitionBy("src").orderBy("distance", "dst")
     return lists.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from knotwork.functions.scalars import rounded
 from knotwork.operators import density, graph, neighbors
 from knotwork.operators.sampling import stratified_split
+from knotwork.operators.spanning import spanning_tree
 from knotwork.plans.bindings import vectors
 from knotwork.plans.registry import query
 from knotwork.plans.vector_queries import K, NEIGHBORS
@@ -92,6 +93,16 @@ def _(spark, sf):
 
 @query("minimum_spanning_forest")
 def _(spark, sf):
+    """The tree over all vectors under mutual reachability, beyond the neighbour lists too."""
+    points = vectors(spark, sf).select(F.col("key").cast("long").alias("key"), "vec")
+    near = cut(neighbors.knn(points, K))
+    tree = spanning_tree(points, near, cut(neighbors.core_distance(near, 10)))
+    return tree.withColumn("weight", rounded(F.col("weight")))
+
+
+@query("k_nearest_forest")
+def _(spark, sf):
+    """The forest of the neighbour graph alone."""
     return graph.minimum_spanning_forest(reach_edges(spark, sf)).withColumn("weight", rounded(F.col("weight")))
 
 
