@@ -134,6 +134,34 @@ def test_forest_weight_equals_kruskal(spark):
     assert len(rows) == count and sum(r["weight"] for r in rows) == pytest.approx(total)
 
 
+def gain_of_any_move(edges, labels):
+    """The greatest modularity gain of moving one node to a neighbour's community, by plain sums."""
+    degree, total, links = {}, {}, {}
+    for a, b, w in edges:
+        for x, y in ((a, b), (b, a)):
+            degree[x] = degree.get(x, 0.0) + w
+            links.setdefault(x, {}).setdefault(labels[y], 0.0)
+            links[x][labels[y]] += w
+    for x, d in degree.items():
+        total[labels[x]] = total.get(labels[x], 0.0) + d
+    both = sum(degree.values())
+    best = 0.0
+    for x, around in links.items():
+        stay = around.get(labels[x], 0.0) - degree[x] * (total[labels[x]] - degree[x]) / both
+        best = max([best] + [w - degree[x] * total[c] / both - stay for c, w in around.items() if c != labels[x]])
+    return best
+
+
+@pytest.mark.parametrize("task_edges", [10**6, 0])
+def test_no_node_of_a_settled_level_gains_by_a_move(spark, task_edges):
+    local = np.random.default_rng(8)
+    pairs = {tuple(sorted((int(a), int(b)))) for a, b in zip(local.integers(0, 30, 90), local.integers(0, 30, 90)) if a != b}
+    frame = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src long, dst long, weight double")
+    labels, moved = graph._settled_labels(graph.both_ways(frame).cache(), 1.0, 42, 10**6, task_edges)
+    assert moved
+    assert gain_of_any_move([(a, b, 1.0) for a, b in pairs], dict(map(tuple, labels.collect()))) < 1e-8
+
+
 def test_communities_of_three_blobs(spark):
     edges = neighbors.knn_graph(points_frame(spark, blobs()), 8).cache()
     found = graph.communities(edges).cache()
