@@ -6,6 +6,7 @@ Spark jobs, several at a time.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -15,10 +16,11 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.operators import density, features as feature_ops, learn, metrics, vectors
-from knotwork.operators.graph import modularity
+from knotwork.operators import density, features as feature_ops, kge, learn, linkpred, metrics, neighbors, vectors
+from knotwork.operators.graph import communities, modularity
 from knotwork.operators.ordering import hash_rank
 from knotwork.operators.sampling import FOLDS, SEEDS, TEST_SHARE, stratified_folds, stratified_split
+from knotwork.operators.triples import PATIENT_PREFIX
 from knotwork.session import cut
 
 PARALLEL_FITS = 4
@@ -289,6 +291,51 @@ def permutation_importance(score: learn.Score, rows: DataFrame, seed: int = 42)
     return areas.select("feature", (F.lit(base) - F.col("roc_auc")).alias("auc_drop"))
 
 
+def compare_embeddings(
+    triples: DataFrame,
+    models: Sequence[str] = ("transe", "rotate", "complex"),
+    k: int = neighbors.DEFAULT_K,
+    min_cluster_size: int = density.MIN_CLUSTER_SIZE,
+    prefix: str = PATIENT_PREFIX,
+    **training,
+) -> DataFrame:
+    """The whole way from labelled triples (head, relation, tail) to one row for each embedding model:
+    training, patient vectors, neighbour graph, communities, density clusters and their quality."""
+    names, _, coded = kge.encode_triples(triples)
+    names, coded = cut(names), cut(coded)
+    frames = {}
+    for model in models:
+        start = time.perf_counter()
+        entities, _, losses = kge.train_kge(coded, model, **training)
+        seconds = time.perf_counter() - start
+        points = cut(kge.patient_vectors(names, entities, prefix))
+        edges = cut(neighbors.knn_graph(points, k))
+        clusters = density.density_clusters(points, min_cluster_size=min_cluster_size)
+        labelled = points.join(communities(edges), "key", "left").join(clusters.select("key", F.col("cluster").alias("density_cluster")), "key")
+        extra = points.sparkSession.range(1).select(
+            F.lit(vectors.dimension(points)).alias("dimension"),
+            F.lit(len(losses)).alias("epochs"),
+            F.lit(float(losses[-1])).alias("loss"),
+            F.lit(round(seconds, 3)).alias("train_time_sec"),
+        )
+        frames[model] = (cut(labelled), edges, extra)
+    return model_comparison(frames)
+
+
+def heldout_ranks(triples: DataFrame, models: Sequence[str] = ("transe", "rotate", "complex"), **training) -> DataFrame:
+    """model, side, rank_type, metric, value: models are trained on the train part of the triples and rank
+    the ends of the test part among all entities, other known triples left out."""
+    _, _, coded = kge.encode_triples(triples)
+    parts = cut(kge.split_triples(coded))
+    train, test = (parts.filter(F.col("part") == p).select("head", "relation", "tail") for p in ("train", "test"))
+    rows = []
+    for model in models:
+        entities, relations, _ = kge.train_kge(train, model, **training)
+        ranks = linkpred.rank_candidates(test, parts.select("head", "relation", "tail"), entities, relations, model)
+        rows.append(linkpred.rank_metrics(cut(ranks)).select(F.lit(model).alias("model"), "*"))
+    return _union(rows)
+
+
 def model_comparison(frames: dict[str, tuple[DataFrame, DataFrame, DataFrame]]) -> DataFrame:
     """One row per embedding model from (points with cluster labels, edges, extra columns)."""
     rows = []

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.functions.scalars import rounded
-from knotwork.operators import gated, learn, metrics, neighbors, sampling, stacking
+from knotwork.operators import gated, learn, metrics, sampling, stacking
 from knotwork.operators.vectors import standardize
 from knotwork.plans.bindings import customer_features, scored, supplier_clusters, vectors, with_tables
+from knotwork.plans.embedding_queries import graph_triples
 from knotwork.plans.feature_queries import GROUPED, QUOTAS
 from knotwork.plans.registry import query
 from knotwork.session import cut
@@ -191,10 +192,9 @@ def _(spark, sf):
 
 @query("model_comparison")
 def _(spark, sf):
-    points = vectors(spark, sf).select(
-        "key", "vec", F.col("label").alias("community"), F.when(F.col("label") == 9, -1).otherwise(F.col("label")).alias("density_cluster")
-    )
-    edges = cut(neighbors.knn_graph(points, 15))
-    halves = {"full": points, "first_half": points.withColumn("vec", F.slice("vec", 1, 32))}
-    extra = spark.range(1).select(F.lit(64).alias("dimension"))
-    return stacking.model_comparison({name: (frame, edges, extra) for name, frame in halves.items()})
+    return stacking.compare_embeddings(graph_triples(spark, sf))
+
+
+@query("heldout_ranks")
+def _(spark, sf):
+    return stacking.heldout_ranks(graph_triples(spark, sf))

@@ -211,13 +211,27 @@ def unescape_field(text: Column) -> Column:
 def read_triples_tsv(spark: SparkSession, path: str, header: bool = False, escaped: bool = True) -> DataFrame:
     """head, relation, tail; ``escaped`` undoes what ``write_triples_tsv`` did to tabs and line breaks.
 
-    Each line is split at its tabs as it stands: blanks, quotes and empty texts are kept.
+    Each line is split at its tabs as it stands: blanks, quotes and empty texts are kept. With a header
+    the first line of each file is left out, whatever it says; no other line is.
     """
     names = ["head", "relation", "tail"]
     fields = F.split("value", "\t", 3)
     lines = spark.read.text(path, lineSep="\n")
     if header:
-        lines = lines.filter(F.col("value") != "\t".join(names))
+        placed = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+
+        def untitled(batches):
+            last = None
+            for batch in batches:
+                files, starts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+                keep = []
+                for block in zip(files, starts):
+                    # The lines of a block come in order; the first of the block at 0 is the file's first.
+                    keep.append(block == last or block[1] != 0)
+                    last = block
+                yield batch.select([0]).filter(pa.array(keep, pa.bool_()))
+
+        lines = placed.mapInArrow(untitled, "value string")
     read = unescape_field if escaped else (lambda text: text)
     return lines.select(*[read(F.get(fields, F.lit(i))).alias(n) for i, n in enumerate(names)])
 

@@ -13,6 +13,19 @@ from knotwork.sources import rdf, tables
 TEXTS = ["line1\nline2", " sp ", "", "tab\there", "back\\slash \\n \\N", "\\N", 'say "x", y', "\x01m \x01b \x02", "cr\r\nlf", "ü \U0001f600", '"', "'", "#"]
 
 
+def test_header_is_the_first_line_of_each_file_and_no_other(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("h\tr\tt\n1\tp\t2\nhead\trelation\ttail\n")
+    (tmp_path / "b.tsv").write_text("head\trelation\ttail\n3\tp\t4\n")
+    (tmp_path / "c.tsv").write_text("".join(f"{i}\tq\t{i}\n" for i in range(3000)))
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        found = [tuple(r) for r in rdf.read_triples_tsv(spark, str(tmp_path), header=True).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    wanted = [("1", "p", "2"), ("head", "relation", "tail"), ("3", "p", "4")] + [(str(i), "q", str(i)) for i in range(1, 3000)]
+    assert sorted(found) == sorted(wanted)
+
+
 @pytest.mark.parametrize("header", [False, True])
 def test_triples_tsv(spark, header):
     rows = [(f"h{i}", text, text) for i, text in enumerate(TEXTS)] + [("h", None, "t"), (" ", "", "")]

@@ -34,7 +34,7 @@ def points(kind):
     return np.concatenate([np.zeros((12, 2)), np.ones((12, 2)) * 5, rng.normal(size=(40, 2)) * 3])
 
 
-@pytest.mark.parametrize(("kind", "k", "block_rows"), [("blobs", 5, 16_384), ("blobs", 4, 20), ("grid", 3, 16_384), ("copies", 6, 16)])
+@pytest.mark.parametrize(("kind", "k", "block_rows"), [("blobs", 4, 20), ("grid", 3, 16_384), ("copies", 6, 16)])
 def test_tree_equals_plain_search(spark, kind, k, block_rows):
     rows = points(kind)
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "key long, vec array<double>")
