@@ -10,7 +10,8 @@
    address a person raise it. A logistic model turns a document's hits into a score.
 
 Labels come from a seeded sample of at most ``LABELLED_DOCUMENTS`` rows and never from held-out
-rows (crc32 of the id as text divisible by 5); the model is of bounded size (``LEXICON_TERMS``).
+rows (crc32 of the id as text divisible by 5). The lexicon holds every word, stem and near miss of theirs
+that passes the limits on groups and odds, so it is bounded by the labelled sample and not by the corpus.
 Scoring is one pass over the texts without a shuffle. Labels, language, source and id are no input
 of a score.
 
@@ -34,7 +35,6 @@ from knotwork.llm.common import bounded_labels, shingle_sets, text_slices, word_
 from knotwork.session import cut
 
 LABELLED_DOCUMENTS = 20_000
-LEXICON_TERMS = 20_000
 SEED = 9
 # Groups of toxic documents that must hold a term, and least log odds of a term.
 LEAST_GROUPS = 4
@@ -183,7 +183,7 @@ def learn_lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float],
         return math.log((pos + 0.5) / (bad + 1)) - math.log((neg + 0.5) / (good + 1))
 
     often = counted.filter((F.col("pos") >= LEAST_GROUPS) & (F.col("neg") <= F.col("pos") * 0.05))
-    words = {r["word"]: odds(r["pos"], r["neg"]) for r in often.orderBy(F.desc("pos"), "word").limit(LEXICON_TERMS).collect()}
+    words = {r["word"]: odds(r["pos"], r["neg"]) for r in often.orderBy(F.desc("pos"), "word").collect()}
     letters = F.explode(F.array(*[F.lit(n) for n in STEM_LETTERS]))
     prefixes = counted.withColumn("n", letters).filter(F.length("word") > F.col("n"))
     stems_counted = prefixes.groupBy(F.expr("substring(word, 1, n)").alias("stem")).agg(
@@ -191,7 +191,7 @@ def learn_lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float],
     )
     clear = (F.col("pos") >= STEM_GROUPS) & (F.col("words") >= STEM_WORDS) & (F.col("neg") <= F.col("pos") * 0.02)
     stems: dict[str, float] = {}
-    for r in sorted(stems_counted.filter(clear).orderBy(F.desc("pos"), "stem").limit(LEXICON_TERMS).collect(), key=lambda r: len(r["stem"])):
+    for r in sorted(stems_counted.filter(clear).orderBy(F.desc("pos"), "stem").collect(), key=lambda r: len(r["stem"])):
         if not any(r["stem"][:n] in stems for n in STEM_LETTERS):
             stems[r["stem"]] = odds(r["pos"], r["neg"])
     words = {w: o for w, o in words.items() if o >= LEAST_ODDS}
@@ -203,7 +203,7 @@ def learn_lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float],
             hits = [lexicon.match(w) for w in batch.column(0).to_pylist()]
             yield batch.filter(pa.array([h is not None and h[1] == 1 for h in hits], pa.bool_()))
 
-    misses = counted.mapInArrow(near, counted.schema).orderBy(F.desc(F.col("pos") + F.col("neg")), "word").limit(LEXICON_TERMS)
+    misses = counted.mapInArrow(near, counted.schema)
     return words, stems, {r["word"]: odds(r["pos"], r["neg"]) for r in misses.collect()}
 
 
