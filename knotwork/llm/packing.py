@@ -31,8 +31,8 @@ SHARD_PIECES = 16_384
 # Text that is encoded at once: many repeated words, and ids that fit into some tens of megabytes.
 SLICE_BYTES = 4_000_000
 # Entries of a worker's memories of encoded runs of letters and other chunks; those not met for longest are forgotten.
-KNOWN_RUNS = 1_000_000
-KNOWN_CHUNKS = 150_000
+KNOWN_RUNS = 400_000
+KNOWN_CHUNKS = 60_000
 # Longer chunks go to the full tokenizer.
 LONG_CHUNK = 48
 PUNCTUATION = ".,;:!?"
