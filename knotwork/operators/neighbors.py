@@ -226,11 +226,6 @@ def _search(
     return lists.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
 
-def knn_approx(points: DataFrame, k: int = DEFAULT_K, probes: int = 4, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Neighbours from the nearest cells only; the exact search is ``knn``."""
-    return knn(points, k, probes=probes, block_rows=block_rows)
-
-
 def simplify_edges(edges: DataFrame) -> DataFrame:
     """Undirected edges without loops and repeats; the least weight stays."""
     a, b = F.least("src", "dst"), F.greatest("src", "dst")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from knotwork.functions.scalars import rounded
-from knotwork.operators import neighbors, vectors as ops
+from knotwork.operators import descent, neighbors, vectors as ops
 from knotwork.plans.bindings import vectors, with_tables
 from knotwork.plans.registry import query
 from knotwork.session import cut
@@ -97,8 +97,11 @@ def _(spark, sf):
 
 @query("knn_approx")
 def _(spark, sf):
-    rows = neighbors.knn_approx(vectors(spark, sf), K, probes=4, block_rows=100)
-    return rows.select("src", "dst", rounded(F.col("distance")).alias("distance"))
+    points = vectors(spark, sf)
+    rows = cut(descent.knn_approx(points, K))
+    share = descent.recall(points, rows, K).select(rounded(F.col("recall")).alias("recall"))
+    # The share is one row.
+    return rows.select("src", "dst", rounded(F.col("distance")).alias("distance")).join(F.broadcast(share))
 
 
 @query("simplify_edges", f"{NEIGHBORS} SELECT least(src, dst) AS src, greatest(src, dst) AS dst, round(min(distance), 6) AS weight FROM knn GROUP BY ALL")

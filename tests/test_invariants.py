@@ -56,13 +56,6 @@ def test_knn_of_other_rows(spark):
     assert found == brute_knn(values, asked, 3, False)
 
 
-def test_approximate_neighbours_find_most(spark):
-    frame = points_frame(spark, blobs(60))
-    exact = {(r["src"], r["dst"]) for r in neighbors.knn(frame, 5).collect()}
-    close = {(r["src"], r["dst"]) for r in neighbors.knn_approx(frame, 5, probes=3, block_rows=20).collect()}
-    assert len(exact & close) > 0.8 * len(exact)
-
-
 def test_prefix_sums_and_quantiles(spark):
     values = [float(x) for x in rng.integers(0, 50, 300)]
     frame = spark.createDataFrame([("a" if i % 3 else "b", v) for i, v in enumerate(values)], "g string, v double")
