@@ -2,12 +2,14 @@
 
 A page is cut into flat blocks of text at its block tags. Each block carries its word count and
 link density, those of its neighbours, and what its enclosing tags say (menu, header, footer,
-sidebar, advert, form, comment, or article). A decision tree, trained when the job starts on the
+sidebar, advert, form, comment, or article), how long the run of plain text is in which it stands, the
+longest block of the page, and whether it stands beside an article that holds most text. A decision tree, trained when the job starts on the
 small labelled table below, tells main text from the rest. Pages are worked on one by one inside
 their partitions; nothing is shuffled.
 
 Defined results: a null or empty page has an empty text; markup that is cut off at the end of a
-page is dropped, text that is cut off is kept; equal pages have equal texts; extra columns are
+page is dropped, text that is cut off is kept; a page of short blocks alone keeps all that are in no rest
+part and no link; formulas are text, controls and drawings are not; very long texts are one block each; equal pages have equal texts; extra columns are
 left aside; an empty table gives an empty result.
 """
 
@@ -31,7 +33,7 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
 SKIPPED_TAGS = frozenset(
-    "script style noscript template svg math iframe object canvas select textarea button title audio video datalist".split()
+    "script style noscript template svg annotation annotation-xml iframe object canvas select textarea button title audio video datalist".split()
 )
 RAW_TAGS = frozenset("script style textarea title iframe noscript".split())
 REST_TAGS = frozenset("nav header footer aside form menu dialog search".split())
@@ -43,7 +45,7 @@ REST_NAMES = frozenset(
     "breadcrumb breadcrumbs sidebar aside widget footer footnav copyright cookie cookies consent gdpr notice notification alert popup "
     "modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment "
     "comments commentlist disqus respond reply replies pagination pager toolbar skip hidden disclaimer paywall donate feedback "
-    "discussion header topbar".split()
+    "discussion header topbar reactions".split()
 )
 # Words beside which a name of the list above speaks of something else, as in "has-sidebar" or "article-header".
 OTHER_NAMES = frozenset("has with without no article entry post story section content main".split())
@@ -70,107 +72,207 @@ _TAG = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _RAW_END = {name: re.compile(rf"</{name}\b", re.IGNORECASE) for name in RAW_TAGS}
+_HREF = re.compile(r"(?:^|\s)href\s*=", re.IGNORECASE)
 _BARE_END = re.compile(r"=\s*[^\s\"'=]+\s*\Z")
 _SPACE = re.compile(r"\s+")
 _NAME_PARTS = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 # A labelled table of blocks: words, link density, words and link density of the block before and
-# behind, inside a rest part, inside an article, heading; then 1 for main text.
+# behind, inside a rest part, inside an article, heading; the words of the longest block in the run of
+# plain text around it and on the whole page; outside the article; then 1 for main text.
 LABELLED_BLOCKS = [
-    # words, links, words before, links before, words behind, links behind, rest, article, heading, main
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 0),
-    (2, 1.0, 1, 1.0, 2, 1.0, 1, 0, 0, 0),
-    (1, 1.0, 2, 1.0, 6, 0.0, 1, 0, 0, 0),
-    (3, 1.0, 1, 1.0, 40, 0.0, 0, 0, 0, 0),
-    (4, 1.0, 3, 1.0, 3, 1.0, 0, 0, 0, 0),
-    (2, 1.0, 60, 0.0, 2, 1.0, 0, 0, 0, 0),
-    (2, 1.0, 60, 0.0, 40, 0.0, 0, 0, 0, 0),
-    (7, 1.0, 30, 0.0, 50, 0.0, 0, 0, 0, 0),
-    (4, 1.0, 9, 1.0, 60, 0.0, 0, 0, 0, 0),
-    (6, 0.8, 12, 0.0, 0, 0.0, 0, 0, 0, 0),
-    (5, 1.0, 20, 0.0, 12, 0.0, 0, 0, 1, 0),
-    (12, 0.9, 4, 1.0, 9, 1.0, 0, 0, 0, 0),
-    (25, 0.8, 12, 0.9, 30, 0.7, 0, 0, 0, 0),
-    (6, 0.0, 1, 1.0, 9, 0.0, 1, 0, 0, 0),
-    (14, 0.0, 1, 1.0, 60, 0.0, 1, 0, 0, 0),
-    (45, 0.0, 2, 1.0, 80, 0.0, 1, 0, 0, 0),
-    (9, 0.1, 70, 0.0, 0, 0.0, 1, 0, 0, 0),
-    (30, 0.0, 90, 0.0, 20, 0.0, 1, 1, 0, 0),
-    (5, 0.0, 50, 0.0, 40, 0.0, 1, 1, 1, 0),
-    (60, 0.0, 30, 0.0, 50, 0.0, 1, 1, 0, 0),
-    (120, 0.0, 60, 0.0, 0, 0.0, 1, 0, 0, 0),
-    (3, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0),
-    (4, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0),
-    (5, 0.2, 3, 0.0, 4, 0.5, 0, 0, 0, 0),
-    (7, 0.0, 4, 0.0, 3, 0.0, 0, 0, 0, 0),
-    (2, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0),
-    (2, 0.0, 60, 0.0, 6, 1.0, 0, 0, 0, 0),
-    (4, 0.0, 40, 0.0, 12, 1.0, 0, 0, 0, 0),
-    (3, 0.0, 8, 1.0, 9, 1.0, 0, 0, 0, 0),
-    (6, 0.0, 3, 1.0, 20, 0.8, 0, 0, 0, 0),
-    (3, 0.0, 50, 0.0, 5, 1.0, 0, 0, 1, 0),
-    (2, 0.0, 2, 1.0, 3, 1.0, 0, 0, 1, 0),
-    (4, 0.0, 3, 0.0, 5, 0.0, 0, 0, 0, 0),
-    (3, 0.0, 2, 1.0, 4, 0.0, 0, 0, 0, 0),
-    (6, 0.0, 5, 0.0, 0, 0.0, 0, 0, 0, 0),
-    (8, 0.0, 2, 1.0, 120, 0.0, 0, 1, 1, 1),
-    (5, 0.0, 14, 0.0, 40, 0.0, 0, 1, 1, 1),
-    (1, 0.0, 60, 0.0, 30, 0.0, 0, 1, 0, 1),
-    (2, 0.0, 6, 0.0, 12, 0.0, 0, 1, 0, 1),
-    (3, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 1),
-    (12, 0.0, 8, 0.0, 25, 0.0, 0, 1, 0, 1),
-    (60, 0.0, 12, 0.0, 45, 0.0, 0, 1, 0, 1),
-    (140, 0.1, 60, 0.0, 9, 0.1, 0, 1, 0, 1),
-    (20, 0.5, 60, 0.0, 40, 0.0, 0, 1, 0, 1),
-    (4, 1.0, 40, 0.0, 60, 0.0, 0, 1, 0, 1),
-    (1, 0.0, 30, 0.0, 1, 1.0, 0, 1, 0, 1),
-    (8, 0.0, 60, 0.0, 3, 1.0, 0, 1, 0, 1),
-    (18, 0.0, 40, 0.0, 6, 1.0, 0, 1, 0, 1),
-    (3, 0.0, 60, 0.0, 4, 1.0, 0, 1, 1, 1),
-    (9, 0.0, 2, 1.0, 5, 1.0, 0, 1, 1, 1),
-    (3, 1.0, 3, 0.0, 3, 1.0, 0, 1, 0, 1),
-    (6, 1.0, 4, 1.0, 2, 1.0, 0, 1, 0, 1),
-    (2, 1.0, 6, 1.0, 1, 1.0, 0, 1, 0, 1),
-    (25, 0.9, 8, 1.0, 20, 0.9, 0, 1, 0, 1),
-    (6, 0.0, 3, 1.0, 80, 0.0, 0, 0, 1, 1),
-    (9, 0.0, 50, 0.0, 40, 0.0, 0, 0, 1, 1),
-    (18, 0.0, 9, 0.0, 60, 0.0, 0, 0, 0, 1),
-    (40, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 1),
-    (80, 0.1, 40, 0.0, 10, 0.0, 0, 0, 0, 1),
-    (25, 0.0, 70, 0.0, 2, 1.0, 0, 0, 0, 1),
-    (8, 0.0, 60, 0.0, 50, 0.0, 0, 0, 0, 1),
-    (11, 0.0, 30, 0.0, 90, 0.0, 0, 0, 0, 1),
-    (20, 0.0, 20, 0.0, 1, 0.0, 0, 0, 0, 1),
-    (20, 0.0, 2, 0.0, 20, 0.0, 0, 0, 0, 1),
-    (22, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
-    (15, 0.0, 1, 1.0, 1, 0.0, 0, 0, 0, 1),
-    (1, 0.0, 30, 0.0, 25, 0.0, 0, 0, 0, 1),
-    (4, 0.0, 60, 0.0, 40, 0.0, 0, 0, 0, 1),
-    (7, 0.0, 12, 0.0, 18, 0.0, 0, 0, 0, 1),
-    (5, 0.0, 20, 0.0, 4, 0.0, 0, 0, 0, 1),
-    (4, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 1),
-    (3, 0.0, 45, 0.0, 30, 0.0, 0, 0, 1, 1),
-    (2, 0.0, 0, 0.0, 20, 0.0, 0, 0, 1, 1),
-    (4, 0.0, 2, 1.0, 15, 0.0, 0, 0, 1, 1),
-    (5, 0.0, 3, 0.0, 12, 0.0, 0, 0, 1, 1),
-    (10, 0.0, 50, 0.0, 2, 1.0, 0, 0, 0, 1),
-    (8, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
-    (9, 0.0, 3, 0.0, 4, 0.0, 0, 0, 0, 1),
-    (8, 0.0, 9, 0.0, 2, 0.0, 0, 0, 0, 1),
-    (3, 0.0, 6, 0.0, 6, 0.0, 0, 0, 1, 1),
-    (3, 0.0, 40, 0.0, 8, 0.0, 0, 0, 0, 1),
-    (2, 0.0, 15, 0.0, 9, 0.0, 0, 0, 0, 1),
-    (2, 0.0, 30, 0.0, 8, 0.0, 0, 0, 1, 1),
-    (25, 0.4, 40, 0.0, 30, 0.0, 0, 0, 0, 1),
-    (60, 0.3, 20, 0.0, 15, 0.1, 0, 0, 0, 1),
-    (12, 0.3, 30, 0.0, 25, 0.2, 0, 0, 0, 1),
-    (8, 1.0, 40, 0.0, 20, 0.0, 0, 0, 0, 1),
-    (14, 0.9, 2, 1.0, 30, 0.0, 0, 0, 0, 1),
-    (30, 1.0, 50, 0.0, 0, 0.0, 0, 0, 0, 1),
+    # words, links, words before, links before, words behind, links behind, rest, article, heading,
+    # longest of the run, longest of the page, outside the article, main
+    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 0, 60, 0, 0),
+    (2, 1.0, 1, 1.0, 2, 1.0, 1, 0, 0, 0, 60, 0, 0),
+    (1, 1.0, 2, 1.0, 6, 0.0, 1, 0, 0, 0, 60, 0, 0),
+    (3, 1.0, 1, 1.0, 40, 0.0, 0, 0, 0, 0, 60, 0, 0),
+    (4, 1.0, 3, 1.0, 3, 1.0, 0, 0, 0, 0, 60, 0, 0),
+    (2, 1.0, 60, 0.0, 2, 1.0, 0, 0, 0, 0, 60, 0, 0),
+    (2, 1.0, 60, 0.0, 40, 0.0, 0, 0, 0, 0, 60, 0, 0),
+    (7, 1.0, 30, 0.0, 50, 0.0, 0, 0, 0, 0, 60, 0, 0),
+    (4, 1.0, 9, 1.0, 60, 0.0, 0, 0, 0, 0, 60, 0, 0),
+    (6, 0.8, 12, 0.0, 0, 0.0, 0, 0, 0, 0, 60, 0, 0),
+    (5, 1.0, 20, 0.0, 12, 0.0, 0, 0, 1, 0, 60, 0, 0),
+    (12, 0.9, 4, 1.0, 9, 1.0, 0, 0, 0, 0, 60, 0, 0),
+    (25, 0.8, 12, 0.9, 30, 0.7, 0, 0, 0, 0, 60, 0, 0),
+    (6, 0.0, 1, 1.0, 9, 0.0, 1, 0, 0, 0, 60, 0, 0),
+    (14, 0.0, 1, 1.0, 60, 0.0, 1, 0, 0, 0, 60, 0, 0),
+    (45, 0.0, 2, 1.0, 80, 0.0, 1, 0, 0, 0, 60, 0, 0),
+    (9, 0.1, 70, 0.0, 0, 0.0, 1, 0, 0, 0, 60, 0, 0),
+    (30, 0.0, 90, 0.0, 20, 0.0, 1, 1, 0, 0, 60, 0, 0),
+    (5, 0.0, 50, 0.0, 40, 0.0, 1, 1, 1, 0, 60, 0, 0),
+    (60, 0.0, 30, 0.0, 50, 0.0, 1, 1, 0, 0, 60, 0, 0),
+    (120, 0.0, 60, 0.0, 0, 0.0, 1, 0, 0, 0, 60, 0, 0),
+    (3, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 3, 60, 0, 0),
+    (4, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0, 4, 60, 0, 0),
+    (5, 0.2, 3, 0.0, 4, 0.5, 0, 0, 0, 5, 60, 0, 0),
+    (7, 0.0, 4, 0.0, 3, 0.0, 0, 0, 0, 7, 60, 0, 0),
+    (2, 0.0, 60, 0.0, 6, 1.0, 0, 0, 0, 60, 60, 0, 0),
+    (4, 0.0, 40, 0.0, 12, 1.0, 0, 0, 0, 40, 60, 0, 0),
+    (3, 0.0, 8, 1.0, 9, 1.0, 0, 0, 0, 3, 60, 0, 0),
+    (6, 0.0, 3, 1.0, 20, 0.8, 0, 0, 0, 6, 60, 0, 0),
+    (3, 0.0, 50, 0.0, 5, 1.0, 0, 0, 1, 50, 60, 0, 0),
+    (2, 0.0, 2, 1.0, 3, 1.0, 0, 0, 1, 2, 60, 0, 0),
+    (4, 0.0, 3, 0.0, 5, 0.0, 0, 0, 0, 5, 60, 0, 0),
+    (3, 0.0, 2, 1.0, 4, 0.0, 0, 0, 0, 4, 60, 0, 0),
+    (6, 0.0, 5, 0.0, 0, 0.0, 0, 0, 0, 6, 60, 0, 0),
+    (8, 0.0, 2, 1.0, 120, 0.0, 0, 1, 1, 120, 120, 0, 1),
+    (5, 0.0, 14, 0.0, 40, 0.0, 0, 1, 1, 40, 60, 0, 1),
+    (1, 0.0, 60, 0.0, 30, 0.0, 0, 1, 0, 60, 60, 0, 1),
+    (2, 0.0, 6, 0.0, 12, 0.0, 0, 1, 0, 12, 60, 0, 1),
+    (3, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 3, 60, 0, 1),
+    (12, 0.0, 8, 0.0, 25, 0.0, 0, 1, 0, 25, 60, 0, 1),
+    (60, 0.0, 12, 0.0, 45, 0.0, 0, 1, 0, 60, 60, 0, 1),
+    (140, 0.1, 60, 0.0, 9, 0.1, 0, 1, 0, 140, 140, 0, 1),
+    (20, 0.5, 60, 0.0, 40, 0.0, 0, 1, 0, 60, 60, 0, 1),
+    (4, 1.0, 40, 0.0, 60, 0.0, 0, 1, 0, 0, 60, 0, 1),
+    (1, 0.0, 30, 0.0, 1, 1.0, 0, 1, 0, 30, 60, 0, 1),
+    (8, 0.0, 60, 0.0, 3, 1.0, 0, 1, 0, 60, 60, 0, 1),
+    (18, 0.0, 40, 0.0, 6, 1.0, 0, 1, 0, 40, 60, 0, 1),
+    (3, 0.0, 60, 0.0, 4, 1.0, 0, 1, 1, 60, 60, 0, 1),
+    (9, 0.0, 2, 1.0, 5, 1.0, 0, 1, 1, 9, 60, 0, 1),
+    (3, 1.0, 3, 0.0, 3, 1.0, 0, 1, 0, 0, 60, 0, 1),
+    (6, 1.0, 4, 1.0, 2, 1.0, 0, 1, 0, 0, 60, 0, 1),
+    (2, 1.0, 6, 1.0, 1, 1.0, 0, 1, 0, 0, 60, 0, 1),
+    (25, 0.9, 8, 1.0, 20, 0.9, 0, 1, 0, 0, 60, 0, 1),
+    (6, 0.0, 3, 1.0, 80, 0.0, 0, 0, 1, 80, 80, 0, 1),
+    (9, 0.0, 50, 0.0, 40, 0.0, 0, 0, 1, 50, 60, 0, 1),
+    (18, 0.0, 9, 0.0, 60, 0.0, 0, 0, 0, 60, 60, 0, 1),
+    (40, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 40, 60, 0, 1),
+    (80, 0.1, 40, 0.0, 10, 0.0, 0, 0, 0, 80, 80, 0, 1),
+    (25, 0.0, 70, 0.0, 2, 1.0, 0, 0, 0, 70, 70, 0, 1),
+    (8, 0.0, 60, 0.0, 50, 0.0, 0, 0, 0, 60, 60, 0, 1),
+    (11, 0.0, 30, 0.0, 90, 0.0, 0, 0, 0, 90, 90, 0, 1),
+    (20, 0.0, 20, 0.0, 1, 0.0, 0, 0, 0, 20, 60, 0, 1),
+    (20, 0.0, 2, 0.0, 20, 0.0, 0, 0, 0, 20, 60, 0, 1),
+    (22, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 22, 60, 0, 1),
+    (15, 0.0, 1, 1.0, 1, 0.0, 0, 0, 0, 15, 60, 0, 1),
+    (1, 0.0, 30, 0.0, 25, 0.0, 0, 0, 0, 30, 60, 0, 1),
+    (4, 0.0, 60, 0.0, 40, 0.0, 0, 0, 0, 60, 60, 0, 1),
+    (7, 0.0, 12, 0.0, 18, 0.0, 0, 0, 0, 18, 60, 0, 1),
+    (5, 0.0, 20, 0.0, 4, 0.0, 0, 0, 0, 20, 60, 0, 1),
+    (4, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 60, 60, 0, 1),
+    (3, 0.0, 45, 0.0, 30, 0.0, 0, 0, 1, 45, 60, 0, 1),
+    (2, 0.0, 0, 0.0, 20, 0.0, 0, 0, 1, 20, 60, 0, 1),
+    (4, 0.0, 2, 1.0, 15, 0.0, 0, 0, 1, 15, 60, 0, 1),
+    (5, 0.0, 3, 0.0, 12, 0.0, 0, 0, 1, 12, 60, 0, 1),
+    (10, 0.0, 50, 0.0, 2, 1.0, 0, 0, 0, 50, 60, 0, 1),
+    (8, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 8, 60, 0, 1),
+    (9, 0.0, 3, 0.0, 4, 0.0, 0, 0, 0, 9, 60, 0, 1),
+    (8, 0.0, 9, 0.0, 2, 0.0, 0, 0, 0, 9, 60, 0, 1),
+    (3, 0.0, 6, 0.0, 6, 0.0, 0, 0, 1, 6, 60, 0, 1),
+    (3, 0.0, 40, 0.0, 8, 0.0, 0, 0, 0, 40, 60, 0, 1),
+    (2, 0.0, 15, 0.0, 9, 0.0, 0, 0, 0, 15, 60, 0, 1),
+    (2, 0.0, 30, 0.0, 8, 0.0, 0, 0, 1, 30, 60, 0, 1),
+    (25, 0.4, 40, 0.0, 30, 0.0, 0, 0, 0, 40, 60, 0, 1),
+    (60, 0.3, 20, 0.0, 15, 0.1, 0, 0, 0, 60, 60, 0, 1),
+    (12, 0.3, 30, 0.0, 25, 0.2, 0, 0, 0, 30, 60, 0, 1),
+    (8, 1.0, 40, 0.0, 20, 0.0, 0, 0, 0, 0, 60, 0, 1),
+    (14, 0.9, 2, 1.0, 30, 0.0, 0, 0, 0, 0, 60, 0, 1),
+    (30, 1.0, 50, 0.0, 0, 0.0, 0, 0, 0, 0, 60, 0, 1),
+    (2, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 2, 2, 0, 1),
+    (1, 0.0, 0, 0.0, 3, 0.0, 0, 0, 1, 3, 3, 0, 1),
+    (3, 0.0, 1, 0.0, 0, 0.0, 0, 0, 0, 3, 3, 0, 1),
+    (5, 0.0, 2, 1.0, 4, 0.0, 0, 0, 0, 5, 5, 0, 1),
+    (4, 0.0, 5, 0.0, 2, 1.0, 0, 0, 0, 7, 7, 0, 1),
+    (1, 0.0, 1, 0.0, 6, 0.0, 0, 0, 0, 6, 6, 0, 1),
+    (3, 1.0, 4, 0.0, 5, 0.0, 0, 0, 0, 0, 5, 0, 0),
+    (2, 0.0, 3, 0.0, 3, 0.0, 1, 0, 0, 0, 4, 0, 0),
+    (1, 0.0, 1, 0.0, 1, 0.0, 0, 0, 0, 60, 60, 0, 1),
+    (1, 0.0, 1, 0.0, 5, 0.0, 0, 0, 0, 40, 60, 0, 1),
+    (5, 0.0, 1, 0.0, 0, 0.0, 0, 0, 0, 60, 60, 0, 1),
+    (2, 0.0, 3, 0.0, 2, 0.0, 0, 0, 0, 30, 60, 0, 1),
+    (4, 0.0, 6, 0.0, 3, 0.0, 0, 0, 0, 50, 60, 0, 1),
+    (1, 0.0, 2, 0.0, 2, 0.0, 0, 0, 0, 20, 60, 0, 1),
+    (3, 0.0, 3, 0.0, 0, 0.0, 0, 0, 0, 25, 60, 0, 1),
+    (6, 0.0, 4, 0.0, 5, 0.0, 0, 0, 0, 80, 80, 0, 1),
+    (2, 0.0, 1, 1.0, 1, 0.0, 0, 0, 0, 3, 60, 0, 0),
+    (1, 0.0, 2, 0.0, 2, 0.0, 0, 0, 0, 2, 60, 0, 0),
+    (30, 0.0, 60, 0.0, 4, 1.0, 0, 0, 0, 60, 60, 1, 0),
+    (12, 0.0, 2, 1.0, 8, 0.0, 0, 0, 0, 12, 60, 1, 0),
+    (60, 0.0, 40, 0.0, 30, 0.0, 0, 0, 0, 60, 80, 1, 0),
+    (3, 0.0, 8, 0.0, 50, 0.0, 0, 0, 1, 50, 60, 1, 0),
+    (9, 0.0, 0, 0.0, 60, 0.0, 0, 0, 0, 60, 60, 1, 0),
+    (20, 0.1, 0, 0.0, 5, 0.0, 0, 0, 0, 20, 60, 1, 0),
+    (4, 0.0, 20, 0.0, 40, 0.0, 0, 0, 0, 40, 60, 1, 0),
+    (120, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 120, 120, 1, 0),
+    (15, 1.0, 30, 0.0, 12, 0.0, 0, 0, 0, 0, 60, 1, 0),
+    (10, 0.9, 60, 0.0, 0, 0.0, 0, 0, 0, 0, 60, 1, 0),
+    (1, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 1, 8, 0, 1),
+    (2, 0.0, 2, 0.0, 2, 0.0, 0, 1, 0, 2, 8, 0, 1),
+    (1, 1.0, 0, 0.0, 0, 0.0, 0, 1, 0, 0, 8, 0, 1),
+    (5, 0.0, 0, 0.0, 3, 0.0, 0, 1, 1, 5, 8, 0, 1),
+    (1, 0.0, 1, 1.0, 1, 1.0, 0, 1, 0, 1, 60, 0, 1),
+    (3, 0.0, 7, 1.0, 18, 1.0, 0, 1, 1, 3, 60, 0, 1),
+    (7, 0.5, 1, 1.0, 60, 1.0, 0, 1, 0, 7, 60, 0, 1),
+    (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0, 60, 0, 1),
+    (3, 1.0, 60, 0.0, 60, 0.0, 0, 1, 0, 0, 60, 0, 1),
+    (7, 1.0, 3, 1.0, 0, 0.0, 0, 1, 0, 0, 8, 0, 1),
+    (8, 0.5, 18, 1.0, 3, 0.5, 0, 1, 0, 8, 8, 0, 1),
+    (18, 1.0, 0, 0.0, 0, 0.0, 0, 1, 0, 0, 8, 0, 1),
+    (18, 0.5, 8, 0.0, 8, 1.0, 0, 1, 0, 18, 60, 0, 1),
+    (60, 1.0, 60, 1.0, 60, 1.0, 0, 1, 0, 0, 60, 0, 1),
+    (60, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 60, 60, 0, 1),
+    (3, 0.0, 60, 0.0, 0, 0.0, 0, 1, 0, 60, 60, 0, 1),
+    (1, 0.0, 18, 0.0, 7, 0.5, 0, 1, 0, 18, 60, 0, 1),
+    (2, 0.5, 3, 1.0, 3, 1.0, 0, 1, 0, 2, 8, 0, 1),
+    (4, 0.0, 3, 1.0, 1, 1.0, 0, 1, 0, 4, 60, 0, 1),
+    (6, 0.0, 60, 0.0, 8, 1.0, 0, 1, 0, 60, 60, 0, 1),
+    (1, 0.0, 60, 0.0, 1, 1.0, 0, 0, 0, 60, 60, 0, 0),
+    (1, 0.0, 20, 0.0, 2, 1.0, 0, 0, 0, 60, 60, 0, 0),
+    (3, 0.0, 20, 0.0, 3, 1.0, 0, 0, 0, 60, 60, 0, 0),
+    (5, 0.0, 60, 0.0, 4, 1.0, 0, 0, 1, 60, 60, 0, 0),
+    (19, 1.0, 0, 0.0, 19, 0.0, 0, 0, 0, 0, 60, 0, 1),
+    (40, 1.0, 20, 0.0, 30, 0.0, 0, 0, 0, 0, 60, 0, 1),
+    (10, 1.0, 30, 0.0, 10, 1.0, 0, 0, 0, 0, 60, 0, 0),
+    (9, 1.0, 10, 1.0, 0, 0.0, 0, 0, 0, 0, 60, 0, 0),
+    (1, 1.0, 0, 0.0, 2, 0.0, 1, 0, 0, 0, 2, 0, 0),
+    (1, 0.0, 2, 0.0, 0, 0.0, 1, 0, 0, 0, 2, 0, 0),
+    (3, 0.0, 3, 0.0, 2, 1.0, 1, 0, 0, 0, 3, 0, 0),
+    (6, 0.0, 5, 0.0, 0, 0.0, 1, 0, 0, 0, 7, 0, 0),
+    (40, 1.0, 0, 0.0, 20, 0.0, 1, 0, 0, 0, 60, 0, 0),
+    (20, 0.9, 10, 1.0, 20, 0.0, 1, 0, 0, 0, 60, 0, 0),
+    (60, 1.0, 2, 1.0, 60, 0.0, 1, 0, 0, 0, 60, 0, 0),
+    (14, 1.0, 20, 0.0, 0, 0.0, 1, 0, 0, 0, 20, 0, 0),
+    (8, 0.0, 40, 0.0, 20, 0.0, 1, 0, 0, 0, 60, 0, 0),
+    (10, 0.5, 45, 0.0, 60, 0.0, 1, 0, 1, 0, 60, 0, 0),
+    (18, 0.0, 3, 1.0, 18, 0.5, 1, 1, 0, 0, 20, 0, 0),
+    (3, 1.0, 45, 0.0, 3, 0.0, 1, 1, 0, 0, 60, 0, 0),
+    (90, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 0, 0, 0, 0),
+    (7, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 0, 0, 0, 0),
+    (15, 0.0, 60, 0.0, 10, 0.0, 1, 0, 0, 0, 60, 1, 0),
+    (2, 0.0, 7, 0.0, 40, 0.0, 1, 0, 1, 0, 60, 1, 0),
+    (1, 1.0, 2, 0.0, 0, 0.0, 0, 0, 0, 0, 2, 0, 0),
+    (2, 1.0, 0, 0.0, 3, 0.0, 0, 0, 0, 0, 3, 0, 0),
+    (1, 1.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 0, 0),
+    (7, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 7, 7, 0, 1),
+    (6, 0.0, 1, 0.0, 3, 0.0, 0, 0, 0, 6, 6, 0, 1),
+    (3, 0.0, 7, 0.0, 0, 0.0, 0, 0, 0, 7, 7, 0, 1),
+    (4, 0.0, 0, 0.0, 6, 0.0, 0, 0, 1, 6, 6, 0, 1),
+    (5, 0.0, 0, 0.0, 3, 0.0, 0, 0, 0, 5, 8, 0, 0),
+    (6, 0.0, 0, 0.0, 3, 0.0, 0, 0, 0, 6, 8, 0, 0),
+    (2, 0.0, 3, 0.0, 2, 0.0, 0, 0, 0, 4, 8, 0, 0),
+    (7, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0, 7, 8, 0, 0),
+    (1, 0.0, 20, 0.0, 1, 1.0, 0, 0, 0, 20, 20, 0, 0),
+    (2, 0.0, 15, 0.0, 2, 1.0, 0, 0, 0, 15, 15, 0, 0),
+    (3, 0.0, 10, 0.0, 3, 1.0, 0, 0, 0, 10, 10, 0, 0),
+    (20, 0.0, 20, 0.0, 9, 1.0, 0, 0, 0, 20, 20, 0, 1),
+    (12, 0.0, 30, 0.0, 8, 1.0, 0, 0, 0, 60, 60, 0, 1),
+    (30, 0.0, 40, 0.0, 12, 1.0, 0, 0, 0, 60, 60, 0, 1),
+    (10, 0.0, 60, 0.0, 20, 1.0, 0, 0, 0, 60, 60, 0, 1),
+    (16, 0.0, 10, 0.0, 30, 1.0, 0, 0, 0, 16, 20, 0, 1),
+    (9, 1.0, 9, 1.0, 9, 1.0, 0, 0, 0, 0, 20, 0, 0),
+    (15, 1.0, 20, 0.0, 15, 1.0, 0, 0, 0, 0, 60, 0, 0),
+    (9, 1.0, 20, 0.0, 1, 1.0, 0, 0, 0, 0, 20, 0, 0),
+    (11, 1.0, 40, 0.0, 2, 1.0, 0, 0, 0, 0, 60, 0, 0),
+    (22, 1.0, 2, 1.0, 22, 1.0, 0, 0, 0, 0, 60, 0, 0),
+    (12, 0.0, 60, 0.0, 6, 1.0, 0, 0, 0, 60, 60, 1, 0),
+    (24, 0.0, 60, 0.0, 8, 1.0, 0, 0, 0, 60, 60, 1, 0),
 ]
 
 
-def train_tree(table: list[tuple], depth: int = 8):
+def train_tree(table: list[tuple], depth: int = 12):
     """A classification tree by Gini gain: a label, or (feature, cut, below or equal, above)."""
     rows = np.array(table, dtype=float)
     x, y = rows[:, :-1], rows[:, -1]
@@ -209,6 +311,8 @@ def _is_rest(name: str, attributes: str) -> bool:
             return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
             return True
+        if key == "data-ad" or key.startswith("data-ad-"):
+            return True
         if key == "role" and value.lower() in REST_ROLES:
             return True
     return False
@@ -301,6 +405,18 @@ def _unclosed(tags: list[tuple[int, int, bool, str | None, str]]) -> set[int]:
     return out.union(*open_tags.values())
 
 
+def _wrapping(tags: list[tuple[int, int, bool, str | None, str]]) -> set[int]:
+    """Starts of the links that are closed: what they enclose is linked, blocks included."""
+    out: set[int] = set()
+    opened = None
+    for start, _, close, name, attributes in tags:
+        if name == "a":
+            if close and opened is not None:
+                out.add(opened)
+            opened = None if close or not _HREF.search(attributes) else start
+    return out
+
+
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     """Text, words, linked words, rest, article, heading of each flat block in page order.
 
@@ -316,6 +432,8 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     # Open skipped parts: name, blocks open around it, whether it ends at the next block tag.
     skips: list[tuple[str, int, bool]] = []
     links, heading, at = 0, False, 0
+    # Whether the open link reaches over the next blocks.
+    wraps = False
 
     def flush() -> None:
         if text:
@@ -336,7 +454,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
                 linked.append(plain)
 
     tags = _tags(page)
-    unclosed = _unclosed(tags)
+    unclosed, wrapping = _unclosed(tags), _wrapping(tags)
     for start, end, close, name, attributes in tags:
         say(page[at:start])
         at = end
@@ -353,7 +471,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
                         del skips[place:]
                         break
             elif name == "a":
-                links = max(0, links - 1)
+                links, wraps = 0, False
             elif name in BLOCK_TAGS:
                 flush()
                 if name[0] == "h" and name[1:].isdigit():
@@ -371,10 +489,11 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         elif name == "br":
             say(" ")
         elif name == "a":
-            links = 1
+            links, wraps = 1, start in wrapping
         elif name in BLOCK_TAGS:
             flush()
-            links = 0
+            if not wraps:
+                links = 0
             if name in VOID_TAGS:
                 continue
             heading = name[0] == "h" and name[1:].isdigit()
@@ -398,14 +517,41 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     return [(*b[:3], b[3] if told else b[6], *b[4:6]) for b in out]
 
 
+def _plain(block: tuple) -> bool:
+    """Whether a block is text of its own: in no rest part and not mostly links."""
+    return not block[3] and 2 * block[2] <= block[1]
+
+
+def _outside(found: list[tuple]) -> list[bool]:
+    """Which blocks stand beside the article or main elements, where these hold most of the plain text.
+
+    A heading right before such an element is its headline.
+    """
+    inside = sum(b[1] for b in found if b[4] and _plain(b))
+    beside = sum(b[1] for b in found if not b[4] and _plain(b))
+    if inside < max(beside, LEAST_PARAGRAPH):
+        return [False] * len(found)
+    return [not b[4] and not (b[5] and any(n[4] for n in found[i + 1 : i + 2])) for i, b in enumerate(found)]
+
+
 def features(found: list[tuple]) -> list[tuple]:
     """The columns of ``LABELLED_BLOCKS`` but the label, for each block."""
     rows = []
+    outside = _outside(found)
+    longest = max((b[1] for b in found if _plain(b)), default=0)
+    if any(b[4] and _plain(b) for b in found):
+        # Beside an article, however short, short blocks are no page of their own.
+        longest = max(longest, LEAST_PARAGRAPH)
+    runs, start = [0] * len(found), 0
+    for i in range(len(found) + 1):
+        if i == len(found) or not _plain(found[i]):
+            runs[start:i] = [max((b[1] for b in found[start:i]), default=0)] * (i - start)
+            start = i + 1
     for i, (_, words, linked, rest, article, heading) in enumerate(found):
         before = found[i - 1] if i else (None, 0, 0)
         behind = found[i + 1] if i + 1 < len(found) else (None, 0, 0)
         near = [value for _, w, n, *_ in (before, behind) for value in (w, n / w if w else 0.0)]
-        rows.append((words, linked / words, *near, int(rest), int(article), int(heading)))
+        rows.append((words, linked / words, *near, int(rest), int(article), int(heading), runs[i], longest, int(outside[i])))
     return rows
 
 

@@ -67,7 +67,50 @@ def test_article_blocks_are_kept_whatever_stands_beside():
     for words in sizes:
         for near in [(a, x, b, y) for a in (0, *sizes) for b in (0, *sizes) for x in (0.0, 1.0) for y in (0.0, 0.5, 1.0)]:
             for links in (0.0, 0.5, 1.0):
-                assert html_text.classify(TREE, (words, links, *near, 0, 1, 0)) == 1
+                for run, longest in ((0, 3), (0, 60), (words, 60), (60, 60), (words, words)):
+                    assert html_text.classify(TREE, (words, links, *near, 0, 1, 0, run, longest, 0)) == 1
+
+
+def test_rest_blocks_go_whatever_stands_beside():
+    for words in (1, 2, 3, 5, 7, 8, 14, 18, 30, 60, 200):
+        for near in [(a, x, b, y) for a in (0, 2, 10, 40, 60) for b in (0, 2, 10, 60) for x in (0.0, 1.0) for y in (0.0, 1.0)]:
+            for links in (0.0, 0.5, 0.9, 1.0):
+                for article, heading, longest, outside in [(a, h, n, o) for a in (0, 1) for h in (0, 1) for n in (0, 3, 7, 20, 60) for o in (0, 1) if not (a and o)]:
+                    assert html_text.classify(TREE, (words, links, *near, 1, article, heading, 0, longest, outside)) == 0
+
+
+PLAIN_PAGES = {
+    "short blocks alone": ("<body><h1>News</h1><p>It rained today.</p></body>", "News\nIt rained today."),
+    "one short block": ("<p>Hello world</p>", "Hello world"),
+    "short blocks and a menu": ("<nav><a href=1>One</a></nav><p>Hello world</p><div class=footer>Imprint</div>", "Hello world"),
+    "terms": ("<dl><dt>Red</dt><dd>a color</dd><dt>Four</dt><dd>a number</dd></dl>", "Red\na color\nFour\na number"),
+    "list": (f"<p>{BODY}</p><ul><li>one<li>two<li>three</ul><p>five words</p>", f"{BODY}\none\ntwo\nthree\nfive words"),
+    "table": (f"<p>{BODY}</p><table><tr><td>a<td>b<tr><td>1<td>2</table>", f"{BODY}\na\nb\n1\n2"),
+    "quote": (f"<p>{BODY}</p><blockquote>So it is.</blockquote><p>Yes.</p><p>No more.</p>", f"{BODY}\nSo it is.\nYes.\nNo more."),
+    "math": (f"<article><p>{BODY}</p><p>Then <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds.</p></article>", f"{BODY}\nThen x=1 holds."),
+}
+WORDS = "ten words of another story stand in this card"
+BESIDE_PAGES = {
+    "linked blocks": (f"<div><p>{BODY}</p><p>{BODY}</p></div><a href=1><div>{WORDS}</div></a><a href=2><div><h3>Other</h3>{WORDS}</div></a>", f"{BODY}\n{BODY}"),
+    "open link": (f"<div><p><a href=1>{BODY}<p>{BODY}<p>{BODY}</div>", f"{BODY}\n{BODY}\n{BODY}"),
+    "anchor": (f"<div><a name=top><p>{BODY}</p></a><p>{BODY}</p></div>", f"{BODY}\n{BODY}"),
+    "notice": (f"<div class='cc-window'><p>{BODY}</p></div><h1>Headline</h1><article><p>{BODY}</p><p>{BODY}</p></article>", f"Headline\n{BODY}\n{BODY}"),
+    "advert": (f"<article><p>{BODY}</p><div data-ad='3'><p>Buy {BODY}</p></div><p data-adjusted=1>{BODY}</p></article>", f"{BODY}\n{BODY}"),
+    "reactions": (f"<article><p>{BODY}</p><div class='reader-reactions'><p>Nice {BODY}</p></div></article>", BODY),
+    "teaser cards": (f"<div><p>{BODY}</p><p>{BODY}</p></div><div><article>Next story</article></div>", f"{BODY}\n{BODY}\nNext story"),
+}
+
+
+@pytest.mark.parametrize("name", PLAIN_PAGES)
+def test_plain_pages_lose_nothing(name):
+    page, wanted = PLAIN_PAGES[name]
+    assert html_text.main_text(page, TREE) == wanted
+
+
+@pytest.mark.parametrize("name", BESIDE_PAGES)
+def test_parts_beside_the_text(name):
+    page, wanted = BESIDE_PAGES[name]
+    assert html_text.main_text(page, TREE) == wanted
 
 
 CLOSED = f"<p>{BODY}</p>"
