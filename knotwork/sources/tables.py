@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from knotwork.functions.scalars import safe_float
 from knotwork.session import scratch
+from knotwork.sources.quoted import read_records
 
 # Names under which tables carry their key and cluster columns.
 KEY_NAMES = ["patient_uri", "entity", "entity_label", "uri", "key"]
@@ -40,14 +42,27 @@ CSV_OPTIONS = {
 }
 
 
+def _ddl(schema: T.StructType) -> str:
+    """The columns as text in a schema string, names quoted."""
+    return ", ".join(f"`{name.replace('`', '``')}` string" for name in schema.names)
+
+
 def read_feature_table(spark: SparkSession, path: str, sep: str | None = None, multi_line: bool = True) -> DataFrame:
     """CSV or TSV with a header; all columns are text until ``numeric_rule_columns`` picks the numbers.
 
-    With ``multi_line`` a quoted text may hold line breaks and a file is one task; without it
-    files are split, for tables whose texts have none.
+    With ``multi_line`` a quoted text may hold line breaks; without it lines are parsed as they stand,
+    for tables whose texts have none. Files are split either way. The header of the first file names
+    the columns; the first record of every file is left out.
     """
     separator = sep or ("\t" if path.endswith((".tsv", ".tab")) else ",")
-    return with_key(spark.read.csv(path, sep=separator, inferSchema=False, multiLine=multi_line, **CSV_OPTIONS))
+    if not multi_line:
+        return with_key(spark.read.csv(path, sep=separator, inferSchema=False, **CSV_OPTIONS))
+    # Reads the head of one file: nothing is inferred but the names.
+    schema = spark.read.csv(path, sep=separator, inferSchema=False, multiLine=True, **CSV_OPTIONS).schema
+    records = read_records(spark, path, separator).filter(~F.col("first"))
+    options = {name: str(value) for name, value in CSV_OPTIONS.items() if name != "header"}
+    parsed = F.from_csv("value", _ddl(schema), options | {"sep": separator, "multiLine": "true"})
+    return with_key(records.select(parsed.alias("row")).select("row.*"))
 
 
 def read_cluster_table(spark: SparkSession, path: str) -> DataFrame:
