@@ -11,8 +11,8 @@ from knotwork.functions.scalars import contains_any
 from knotwork.operators.skew import HOT_ROWS, salted_join
 from knotwork.operators.triples import CATEGORY_SUFFIXES, PATIENT_PREFIX, RDF_TYPE, is_patient
 
-# A term is ``?name``, a text of any kind, or (text, kind).
-Term = str | tuple[str, str]
+# A term is ``?name``, a text of any kind, (text, kind), or (text, kind, tag) with the tag of a literal.
+Term = str | tuple[str, str] | tuple[str, str, str]
 Pattern = tuple[Term, Term, Term]
 
 
@@ -20,31 +20,59 @@ def _kind(column: str) -> Column:
     return F.lit("iri") if column == "pred" else F.col(f"{column}_kind")
 
 
+# Fixed value: the datatype that a literal without one has.
+PLAIN_TYPE = "http://www.w3.org/2001/XMLSchema#string"
+TAG_COLUMNS = ("obj_datatype", "obj_lang")
+
+
+def _tag(rows: DataFrame, column: str) -> Column:
+    """What tells literals of one text apart: ``@`` and the language in lower case, or the datatype.
+
+    Empty for plain strings, for other terms, and in tables that do not tell.
+    """
+    known = [c for c in TAG_COLUMNS if c in rows.columns]
+    if column != "obj" or not known:
+        return F.lit("")
+    datatype, lang = (F.col(c) if c in known else F.lit(None).cast("string") for c in TAG_COLUMNS)
+    told = F.coalesce(F.concat(F.lit("@"), F.lower(lang)), F.nullif(datatype, F.lit(PLAIN_TYPE)), F.lit(""))
+    return F.when(F.col("obj_kind") == "literal", told).otherwise("")
+
+
 def match_pattern(triples: DataFrame, pattern: Pattern) -> DataFrame:
-    """Bindings of one pattern: constants filter the scan, ``?name`` terms become ``name`` and ``name_kind``."""
+    """Bindings of one pattern: constants filter the scan, ``?name`` terms become ``name`` and ``name_kind``.
+
+    A table with datatypes or languages yields ``name_tag`` as well.
+    """
+    tagged = any(c in triples.columns for c in TAG_COLUMNS)
     rows = triples
     seen: dict[str, str] = {}
     for column, term in zip(("subj", "pred", "obj"), pattern):
         if isinstance(term, tuple):
             rows = rows.filter((F.col(column) == term[0]) & (_kind(column) == term[1]))
+            if len(term) > 2:
+                rows = rows.filter(_tag(rows, column) == term[2])
         elif not term.startswith("?"):
             rows = rows.filter(F.col(column) == term)
         elif term in seen:
-            rows = rows.filter((F.col(column) == F.col(seen[term])) & (_kind(column) == _kind(seen[term])))
+            same = (F.col(column) == F.col(seen[term])) & (_kind(column) == _kind(seen[term]))
+            rows = rows.filter(same & (_tag(rows, column) == _tag(rows, seen[term])))
         else:
             seen[term] = column
     columns = []
     for term, column in seen.items():
         columns += [F.col(column).alias(term[1:]), _kind(column).alias(f"{term[1:]}_kind")]
+        if tagged:
+            columns.append(_tag(rows, column).alias(f"{term[1:]}_tag"))
     return rows.select(*columns)
 
 
 def bgp_match(triples: DataFrame, patterns: Sequence[Pattern], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Conjunction of patterns as equi-joins on their shared variables, text and kind.
+    """Conjunction of patterns as equi-joins on their shared variables: text, kind, datatype and language.
 
-    A literal never meets an IRI or a blank node of the same text. The next pattern is always one
+    A literal never meets an IRI or a blank node of the same text, nor a literal of another datatype or
+    language. The next pattern is always one
     that shares a variable with those already joined; a pattern that shares none would be a product
-    and is refused. Variables at an object place also yield ``name_kind``.
+    and is refused. Variables at an object place also yield ``name_kind``, and ``name_tag`` where the table tells tags.
     """
     waiting = [(pattern, match_pattern(triples, pattern)) for pattern in patterns]
     _, solved = waiting.pop(0)
@@ -58,7 +86,9 @@ def bgp_match(triples: DataFrame, patterns: Sequence[Pattern], hot_rows: int = H
         waiting.pop(position)
         solved = salted_join(rows, solved, shared, hot_rows=hot_rows)
     objects = {p[2][1:] for p in patterns if isinstance(p[2], str) and p[2].startswith("?")}
-    return solved.select(*[c for c in solved.columns if not c.endswith("_kind") or c.removesuffix("_kind") in objects])
+    variables = {term[1:] for p in patterns for term in p if isinstance(term, str) and term.startswith("?")}
+    notes = {f"{name}_{note}" for name in variables - objects for note in ("kind", "tag")} - variables
+    return solved.select(*[c for c in solved.columns if c not in notes])
 
 
 def lookup_spo(triples: DataFrame, keys: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -86,6 +86,20 @@ def test_patterns_tell_kinds_apart(spark):
     assert found == []
 
 
+def test_patterns_tell_datatypes_and_languages_apart(spark):
+    number, plain = "http://www.w3.org/2001/XMLSchema#int", patterns.PLAIN_TYPE
+    schema = "subj string, subj_kind string, pred string, obj string, obj_kind string, obj_datatype string, obj_lang string"
+    rows = [("a", "iri", "p", "1", "literal", *tag) for tag in ((number, None), (None, "en"), (None, None))]
+    rows += [("b", "iri", "q", "1", "literal", *tag) for tag in ((number, None), (None, "EN"), (plain, None), (None, "de"))]
+    graph = spark.createDataFrame(rows, schema)
+    found = patterns.bgp_match(graph, [("?a", "p", "?x"), ("?b", "q", "?x")]).collect()
+    assert sorted((r.a, r.b, r.x, r.x_tag) for r in found) == [("a", "b", "1", ""), ("a", "b", "1", "@en"), ("a", "b", "1", number)]
+    assert sorted(found[0].asDict()) == ["a", "b", "x", "x_kind", "x_tag"]
+    found = patterns.bgp_match(graph, [("?b", "q", ("1", "literal", "@de"))]).collect()
+    assert [tuple(r) for r in found] == [("b",)]
+    assert patterns.bgp_match(graph, [("?b", "q", ("1", "literal"))]).count() == 4
+
+
 def test_nearest_centroid_is_one_path(spark, monkeypatch):
     points = spark.createDataFrame([(i, [float(i % 5), 0.0]) for i in range(300)], "key long, vec array<double>")
     for kind, names in (("int", [9, 10]), ("string", ["9", "10"])):
