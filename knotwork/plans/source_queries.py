@@ -11,7 +11,7 @@ from knotwork.operators.triples import entity_triples, labelled
 from knotwork.plans.bindings import kg_triples, order_rules, patient_clusters, table, vectors, with_tables
 from knotwork.plans.registry import query
 from knotwork.session import scratch
-from knotwork.sources import rdf, tables
+from knotwork.sources import rdf, rdfxml, tables
 
 KG = with_tables("kg")
 COLUMNS = ["subj", "subj_kind", "pred", "obj", "obj_kind"]
@@ -36,36 +36,65 @@ def _(spark, sf):
     return rdf.read_ntriples(spark, path, strict=True).select(*COLUMNS)
 
 
-@query("read_rdfxml", f"{KG} SELECT subj, subj_kind, pred, obj, obj_kind FROM kg WHERE contains(subj, 'Patient_')")
+GRAPH_SQL = f"{KG} SELECT subj, subj_kind, pred, obj, obj_kind FROM kg"
+
+
+@query("read_rdfxml", GRAPH_SQL)
 def _(spark, sf):
-    return _through_rdfxml(spark, kg_triples(spark, sf).filter(F.contains("subj", F.lit("Patient_"))))
+    """The short forms: typed nodes, property attributes, nodes inside of properties."""
+    return _through_rdfxml(spark, kg_triples(spark, sf), _short_form)
 
 
-@query("read_rdfxml_graph", f"{KG} SELECT subj, subj_kind, pred, obj, obj_kind FROM kg")
+@query("read_rdfxml_graph", GRAPH_SQL)
 def _(spark, sf):
-    return _through_rdfxml(spark, kg_triples(spark, sf))
+    return _through_rdfxml(spark, kg_triples(spark, sf), _description)
+
+
+def _escaped(column):
+    out = F.col(column)
+    for found, meant in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\r", "&#13;")):
+        out = F.replace(out, F.lit(found), F.lit(meant))
+    return out
+
+
+def _about(side):
+    """The attribute that names a node."""
+    return F.concat(F.when(F.col(f"{side}_kind") == "bnode", "rdf:nodeID").otherwise("rdf:about"), F.lit('="'), _escaped(side), F.lit('"'))
 
 
-def _through_rdfxml(spark, triples):
-    """The triples written as description blocks and read back; blank nodes are written by rdf:nodeID."""
+def _property():
+    return F.when(F.endswith("pred", F.lit("#type")), "rdf:type").otherwise(F.concat(F.lit("ex:"), F.substring_index("pred", "#", -1)))
 
-    def text(column):
-        out = F.replace(column, F.lit("&"), F.lit("&amp;"))
-        return F.replace(F.replace(out, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
-    obj = text(F.col("obj"))
-    name = F.when(F.endswith("pred", F.lit("#type")), "rdf:type").otherwise(F.concat(F.lit("ex:"), F.substring_index("pred", "#", -1)))
-    iri = F.concat(F.lit("<"), name, F.lit(' rdf:resource="'), obj, F.lit('"/>'))
+def _description():
+    """A description block for one triple; a subject may be described in several blocks."""
+    name, obj = _property(), _escaped("obj")
+    link = F.concat(F.lit("<"), name, F.when(F.col("obj_kind") == "iri", ' rdf:resource="').otherwise(' rdf:nodeID="'), obj, F.lit('"/>'))
     literal = F.concat(F.lit("<"), name, F.lit(">"), obj, F.lit("</"), name, F.lit(">"))
-    node = F.concat(F.lit("<"), name, F.lit(' rdf:nodeID="'), obj, F.lit('"/>'))
-    element = F.when(F.col("obj_kind") == "iri", iri).when(F.col("obj_kind") == "bnode", node).otherwise(literal)
-    about = F.when(F.col("subj_kind") == "bnode", "rdf:nodeID").otherwise("rdf:about")
-    # One block per triple: a subject may be described in several blocks.
-    block = F.concat(F.lit("<rdf:Description "), about, F.lit('="'), text(F.col("subj")), F.lit('">'), element, F.lit("</rdf:Description>"))
-    lines = triples.select(block.alias("value"))
+    element = F.when(F.col("obj_kind") == "literal", literal).otherwise(link)
+    return F.concat(F.lit("<rdf:Description "), _about("subj"), F.lit(">"), element, F.lit("</rdf:Description>"))
+
+
+def _short_form():
+    """One triple as a typed node, an attribute or two nodes in one another."""
+    name, local = _property(), F.substring_index("obj", "#", -1)
+    typed = F.concat(F.lit("<ex:"), local, F.lit(" "), _about("subj"), F.lit("/>"))
+    value = F.replace(F.replace(_escaped("obj"), F.lit("\n"), F.lit("&#10;")), F.lit("\t"), F.lit("&#9;"))
+    attribute = F.concat(F.lit("<rdf:Description "), _about("subj"), F.lit(" "), name, F.lit('="'), value, F.lit('"/>'))
+    inner = F.concat(F.lit("<"), name, F.lit("><rdf:Description "), _about("obj"), F.lit("/></"), name, F.lit(">"))
+    nested = F.concat(F.lit("<rdf:Description "), _about("subj"), F.lit(">"), inner, F.lit("</rdf:Description>"))
+    is_class = (name == "rdf:type") & (F.col("obj_kind") == "iri") & F.col("obj").rlike(r"^http://example\.org/kg#[A-Za-z_][\w.-]*$")
+    return F.when(is_class, typed).when((F.col("obj_kind") == "literal") & (name != "rdf:type"), attribute).when(
+        F.col("obj_kind") == "literal", _description()
+    ).otherwise(nested)
+
+
+def _through_rdfxml(spark, triples, form):
+    """The triples written in a form of RDF/XML and read back; blank nodes are written by rdf:nodeID."""
+    lines = triples.select(form().alias("value"))
     path = scratch(spark, "rdfxml")
     lines.mapInArrow(_document, lines.schema).write.text(path)
-    return rdf.read_rdfxml(spark, path).select(*COLUMNS)
+    return rdfxml.read_rdfxml(spark, path).select(*COLUMNS)
 
 
 def _document(batches):

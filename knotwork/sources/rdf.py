@@ -1,4 +1,4 @@
-"""N-Triples, RDF/XML and tab-separated triples.
+"""N-Triples and tab-separated triples.
 
 A triples table has ``subj, subj_kind, pred, obj, obj_kind, obj_datatype, obj_lang``.
 """
@@ -8,7 +8,6 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from knotwork.session import scratch
 
@@ -121,72 +120,6 @@ def write_ntriples(triples: DataFrame, path: str | None = None) -> str:
     return target
 
 
-def _namespaces(spark: SparkSession, path: str) -> dict[str, str]:
-    """Prefixes declared in the files; as many rows as declarations."""
-    text = spark.read.text(path).filter(F.contains("value", F.lit("xmlns:")))
-    found = text.select(F.explode(F.regexp_extract_all("value", F.lit(r"xmlns:[\w.-]+\s*=\s*[\"'][^\"']*"), 0)).alias("d")).distinct()
-    pairs = found.select(F.regexp_extract("d", r"xmlns:([\w.-]+)", 1), F.regexp_extract("d", r"[\"'](.*)$", 1))
-    return {row[0]: row[1] for row in pairs.collect()}
-
-
-def read_rdfxml(spark: SparkSession, path: str, distinct: bool = True) -> DataFrame:
-    """Description blocks of RDF/XML as triples.
-
-    Spark's XML source finds the blocks and their child elements; the children are then unpivoted
-    in one pass. The schema pass costs one scan; what is read back is the list of predicates.
-    """
-    spaces = _namespaces(spark, path)
-    rows = spark.read.format("xml").option("rowTag", "rdf:Description").option("inferSchema", "false").load(path)
-
-    def full(name: str) -> str:
-        prefix, _, local = name.partition(":")
-        return spaces[prefix] + local if local and prefix in spaces else name
-
-    def quoted(name: str) -> str:
-        return f"`{name}`"
-
-    def field(item, kind: T.StructType, name: str) -> Column:
-        return item.getField(name) if name in kind.fieldNames() else F.lit(None).cast("string")
-
-    def objects(name: str, kind: T.DataType) -> Column:
-        """All values of one child element as an array of structs."""
-        many = kind.elementType if isinstance(kind, T.ArrayType) else kind
-
-        def one(item):
-            if not isinstance(many, T.StructType):
-                resource, node, value, datatype, lang = (F.lit(None).cast("string"),) * 5
-                value = item
-            else:
-                resource, node = field(item, many, "_rdf:resource"), field(item, many, "_rdf:nodeID")
-                value, datatype = field(item, many, "_VALUE"), field(item, many, "_rdf:datatype")
-                lang = field(item, many, "_xml:lang")
-            return F.struct(
-                F.lit(full(name)).alias("pred"),
-                F.coalesce(resource, node, value, F.lit("")).alias("obj"),
-                F.when(resource.isNotNull(), "iri").when(node.isNotNull(), "bnode").otherwise("literal").alias("obj_kind"),
-                F.when(resource.isNull() & node.isNull(), datatype).alias("obj_datatype"),
-                F.when(resource.isNull() & node.isNull(), lang).alias("obj_lang"),
-                F.coalesce(resource, node, value).isNotNull().alias("present"),
-            )
-
-        column = F.col(quoted(name))
-        listed = F.coalesce(column, F.array().cast(kind)) if isinstance(kind, T.ArrayType) else F.filter(F.array(column), lambda x: x.isNotNull())
-        return F.transform(listed, one)
-
-    children = [f for f in rows.schema.fields if not f.name.startswith("_")]
-    if not children:
-        return spark.createDataFrame([], TRIPLES)
-    about = F.col(quoted("_rdf:about")) if "_rdf:about" in rows.columns else F.lit(None).cast("string")
-    node = F.col(quoted("_rdf:nodeID")) if "_rdf:nodeID" in rows.columns else F.lit(None).cast("string")
-    found = rows.select(
-        F.coalesce(about, node).alias("subj"),
-        F.when(about.isNotNull(), "iri").otherwise("bnode").alias("subj_kind"),
-        F.inline(F.concat(*[objects(f.name, f.dataType) for f in children])),
-    )
-    triples = found.filter("present").select("subj", "subj_kind", "pred", "obj", "obj_kind", "obj_datatype", "obj_lang")
-    return triples.dropDuplicates() if distinct else triples
-
-
 # Escapes that keep a text on one line of a separated file, and the sign for null.
 LINE_ESCAPES = [("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")]
 NULL_SIGN = "\\N"

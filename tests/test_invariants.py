@@ -8,7 +8,7 @@ from knotwork.operators import density, gated, graph, kge, learn, linkpred, metr
 from knotwork.operators import triples as triple_ops
 from knotwork.operators.patterns import bgp_match
 from knotwork.operators.skew import salted_join
-from knotwork.sources import rdf, tables
+from knotwork.sources import rdf, rdfxml, tables
 
 rng = np.random.default_rng(7)
 
@@ -411,7 +411,7 @@ XML = '''<?xml version="1.0"?>
 def test_rdfxml(spark, tmp_path):
     path = tmp_path / "g.owl"
     path.write_text(XML)
-    rows = {(r["subj"][-1], r["pred"].split("#")[-1], r["obj"], r["obj_kind"]) for r in rdf.read_rdfxml(spark, str(path)).collect()}
+    rows = {(r["subj"][-1], r["pred"].split("#")[-1], r["obj"], r["obj_kind"]) for r in rdfxml.read_rdfxml(spark, str(path)).collect()}
     assert rows == {
         ("1", "type", "http://x#Patient", "iri"), ("1", "MCP.1", "3.5", "literal"), ("1", "tumor-size", "10 & 14", "literal"),
         ("1", "friend", "http://x#Patient_2", "iri"), ("1", "friend", "http://x#Patient_3", "iri"), ("2", "tumor-size", "5", "literal"),
