@@ -20,6 +20,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,11 +44,13 @@ DEEPEST = 30
 
 
 def _pipeline(estimator, scaled: bool = True) -> Fit:
-    """Scaler (optional) and a Spark ML classifier on the features array."""
+    """Scaler (optional) and a Spark ML classifier on the features, an array or a vector. Vectors are not
+    centered, so that sparse ones stay sparse; models with a free intercept do not depend on it."""
 
     def fit(train: DataFrame) -> Score:
         source = "_scaled" if scaled else "_vector"
-        stages = [StandardScaler(inputCol="_vector", outputCol="_scaled", withMean=True)] if scaled else []
+        centered = not _is_vector(train)
+        stages = [StandardScaler(inputCol="_vector", outputCol="_scaled", withMean=centered)] if scaled else []
         clf = estimator(train)
         names = {
             "featuresCol": source,
@@ -74,8 +77,12 @@ def _pipeline(estimator, scaled: bool = True) -> Fit:
     return fit
 
 
+def _is_vector(rows: DataFrame) -> bool:
+    return isinstance(rows.schema["features"].dataType, VectorUDT)
+
+
 def _vectors(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("_vector", array_to_vector("features"))
+    return rows.withColumn("_vector", F.col("features") if _is_vector(rows) else array_to_vector("features"))
 
 
 def _platt(scored: DataFrame):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from knotwork.functions.arrays import halves, real_imaginary
 from knotwork.functions.scalars import rounded
 from knotwork.operators import features as ops
-from knotwork.operators import metrics, sampling
+from knotwork.operators import metrics, sampling, sparse
 from knotwork.plans.bindings import (
     LABEL,
     NS,
@@ -105,15 +105,18 @@ def _(spark, sf):
     return _flags(ops.onehot_train(patient_clusters(spark, sf), "density_cluster", "d", F.col("community") < 3), "d")
 
 
-@query(
-    "assemble_features",
-    f"""{with_tables('features', 'vectors', 'supplier_clusters', 'rules')},
+ASSEMBLED = f"""{with_tables('features', 'vectors', 'supplier_clusters', 'rules')},
  base AS (SELECT f.key, balance, nation, vec, coalesce(community, -1) AS community, coalesce(density_cluster, -1) AS density, coalesce(orders, 0) AS orders, coalesce(urgent, 0) AS urgent
   FROM features f JOIN vectors v USING (key) LEFT JOIN supplier_clusters USING (key) LEFT JOIN rules USING (key)),
  kc AS (SELECT list(DISTINCT community ORDER BY community) AS values FROM base), kd AS (SELECT list(DISTINCT density ORDER BY density) AS values FROM base),
  built AS (SELECT key, list_concat([balance, nation], vec, list_transform(kc.values, lambda v: CAST(CAST(v = community AS INTEGER) AS DOUBLE)),
    list_transform(kd.values, lambda v: CAST(CAST(v = density AS INTEGER) AS DOUBLE)), [orders, urgent]) AS f FROM base, kc, kd)
- SELECT key, CAST(generate_subscripts(f, 1) - 1 AS INTEGER) AS position, round(unnest(f), 6) AS value FROM built""",
+ SELECT key, CAST(generate_subscripts(f, 1) - 1 AS INTEGER) AS position, round(unnest(f), 6) AS value FROM built"""
+
+
+@query(
+    "assemble_features",
+    ASSEMBLED,
 )
 def _(spark, sf):
     rows = ops.assemble_features(
@@ -125,6 +128,17 @@ def _(spark, sf):
     return ops.long_form(rows).withColumn("value", rounded(F.col("value")))
 
 
+@query("assemble_sparse", f"SELECT * FROM ({ASSEMBLED}) WHERE value <> 0")
+def _(spark, sf):
+    rows = sparse.assemble_sparse(
+        customer_features(spark, sf),
+        vectors(spark, sf).select("key", "vec"),
+        supplier_clusters(spark, sf),
+        ops.numeric_rule_columns(order_rules(spark, sf)),
+    )
+    return sparse.entries(rows).withColumn("value", rounded(F.col("value"))).filter("value <> 0")
+
+
 @query("numeric_rule_columns", f"{with_tables('rules')} SELECT * FROM rules")
 def _(spark, sf):
     return ops.numeric_rule_columns(order_rules(spark, sf))
