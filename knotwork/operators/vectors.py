@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.functions import arrays
-from knotwork.operators.blocks import block_join, list_column, matrix, measured, nearest_rows, squared_distances, strips, tile_join
+from knotwork.operators.blocks import CANCELLED, block_join, list_column, matrix, measured, nearest_rows, strips, tile_join
 from knotwork.operators.skew import attach_row
 
 NOISE = -1
 # Centers of at most this size are held by every task.
 HELD_BYTES = 64_000_000
+# Rows and columns of which distances are held at once for sums: 2 MB.
+SUM_ROWS, SUM_COLUMNS = 128, 2_048
 
 
 def dimension(points: DataFrame, vec: str = "vec") -> int:
@@ -199,14 +201,36 @@ def _distance_sums(right: pa.Table):
     b = matrix(right.column("vec"))
     names, place = np.unique(right.column("cluster").to_numpy(), return_inverse=True)
     order = np.argsort(place, kind="stable")
-    bounds = np.searchsorted(place[order], np.arange(len(names)))
-    members, b = np.bincount(place), b[order]
+    members, place, b = np.bincount(place), place[order], b[order]
+    centre = b.mean(axis=0)
+    near_b = b - centre
+    bb = np.einsum("ij,ij->i", near_b, near_b)
+    # |a|^2 + |b|^2 - 2 a.b round a common centre as one product.
+    table = np.concatenate([near_b, bb[:, None], np.ones((len(b), 1))], axis=1).T.copy()
+    parts = [slice(start, min(start + SUM_COLUMNS, len(b))) for start in range(0, len(b), SUM_COLUMNS)]
+    clusters = [np.unique(place[part], return_index=True) for part in parts]
+    buffer = np.empty(SUM_ROWS * SUM_COLUMNS)
 
     def sums(left: pa.Table) -> pa.Table:
         a = matrix(left.column("vec"))
-        totals = np.empty((len(a), len(names)))
-        for strip in strips(len(a), len(b)):
-            totals[strip] = np.add.reduceat(np.sqrt(squared_distances(a[strip], b)), bounds, axis=1)
+        totals = np.zeros((len(a), len(names)))
+        near_a = a - centre
+        aa = np.einsum("ij,ij->i", near_a, near_a)
+        factors = np.concatenate([-2.0 * near_a, np.ones((len(a), 1)), aa[:, None]], axis=1)
+        for start in range(0, len(a), SUM_ROWS):
+            strip = slice(start, min(start + SUM_ROWS, len(a)))
+            own, height = aa[strip], strip.stop - strip.start
+            for part, (present, first) in zip(parts, clusters):
+                width = part.stop - part.start
+                flat = buffer[: height * width]
+                squares = np.matmul(factors[strip], table[:, part], out=flat.reshape(height, width))
+                # Pairs that are close against their distance from the centre are measured by their differences.
+                close = np.flatnonzero(squares < ((own + bb[part].max()) * CANCELLED)[:, None])
+                i, j = np.divmod(close, width)
+                lost = flat[close] < (own[i] + bb[part][j]) * CANCELLED
+                flat[close[lost]] = measured(a[strip], b[part], i[lost], j[lost])
+                np.sqrt(squares, out=squares)
+                totals[strip, present] += np.add.reduceat(squares, first, axis=1)
         rows = pa.array(np.repeat(np.arange(len(a)), len(names)))
         columns = [left.column("key").take(rows), left.column("cluster").take(rows), pa.array(np.tile(names, len(a)))]
         columns += [pa.array(totals.ravel()), pa.array(np.tile(members, len(a)))]
