@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from knotwork.operators.blocks import block_join
 from knotwork.session import cut
 
-PAGE = 64
+# Entries of a page: in noise nearly all pages are read, and a long product costs little more than a short one.
+PAGE = 512
 SCALE = 1024
 LONG, LEAST = 2**63 - 1, -(2.0**63)
 

@@ -82,3 +82,23 @@ def test_close_scores_keep_their_order():
 def test_rows_that_repeat_are_candidates_each(spark):
     rows = [(0, [1.0, 1.0])] * 3 + [(5, [2.0, 1.0])] * 40 + [(6, [1.0, 1.0])]
     check(spark, rows)
+
+
+@pytest.mark.parametrize("page", [4, topk.PAGE])
+def test_a_tree_of_several_levels_reads_few_pages_in_noise(monkeypatch, page):
+    monkeypatch.setattr(topk, "PAGE", page)
+    rng = np.random.default_rng(9)
+    rows = rng.integers(-1024, 1024, (page * 9, 32))
+    ids = rng.permutation(len(rows))
+    tree = topk.build(rows, ids)
+    assert tree.children is not None
+    for own in range(5):
+        scores = rows @ rows[own]
+        order = [i for i in np.lexsort([ids, -scores]) if i != own][:10]
+        assert topk.search(tree, rows[own], int(ids[own]), 10) == [(int(scores[i]), int(ids[i])) for i in order]
+
+    def leaves(node):
+        return 1 if node.children is None else sum(leaves(child) for child in node.children)
+
+    # A step of the search costs the same for a few entries as for hundreds.
+    assert page < 512 or leaves(tree) <= len(rows) // 64
