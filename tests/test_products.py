@@ -64,3 +64,10 @@ def test_tiles_outnumber_cores_and_are_bounded(spark):
     assert seen.rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism
     sides = blocks.tile_sides(10_000_000, 10_000_000, 48)
     assert 1e14 / (sides[0] * sides[1]) <= 2**32
+
+
+@pytest.mark.parametrize("columns", [10, 16_384, 65_536])
+def test_a_strip_of_doubles_stays_small(columns):
+    parts = blocks.strips(2_000, columns)
+    assert [i for part in parts for i in range(2_000)[part]] == list(range(2_000))
+    assert max(part.stop - part.start for part in parts) * columns * 8 <= 2**24
