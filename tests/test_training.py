@@ -63,3 +63,35 @@ def test_relations_without_triples_in_a_round_are_kept(spark):
     assert sorted(r.id for r in relations.collect()) == list(range(12))
     assert entities.count() == 24 and entities.select("id").distinct().count() == 24
     assert all(len(r.vec) == 4 for r in relations.collect()) and all(x > 0 for x in losses)
+
+
+def test_a_forest_is_grown_in_parts_side_by_side(spark, monkeypatch):
+    """All trees are grown, several fits at a time, and the probability is the mean over all of them."""
+    from pyspark.ml import Pipeline
+
+    from knotwork.operators import learn
+
+    rng = np.random.default_rng(3)
+    rows = [(i, int(v[0] > 0), [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(80, 3)))]
+    train = spark.createDataFrame(rows, "key long, y int, features array<double>").cache()
+    gate, grown, real = threading.Barrier(3), [], Pipeline.fit
+
+    def fit(self, *args):
+        gate.wait(60)
+        grown.append(real(self, *args))
+        return grown[-1]
+
+    monkeypatch.setattr(learn, "PART_TREES", 3)
+    with monkeypatch.context() as patch:
+        patch.setattr(Pipeline, "fit", fit)
+        score = learn.forest(trees=8)(train)
+    forests = [model.stages[-1] for model in grown]
+    assert sorted(f.getNumTrees for f in forests) == [2, 3, 3]
+    vectors = learn._vectors(train)
+    found = {r.key: r.probability for r in score(train).collect()}
+    total = {r.key: 0.0 for r in train.collect()}
+    for forest in forests:
+        for r in forest.transform(vectors).collect():
+            total[r.key] += r._probability[1] * forest.getNumTrees / 8
+    assert found == pytest.approx(total)
+    assert np.mean([(p > 0.5) == (rows[k][1] == 1) for k, p in found.items()]) > 0.95
