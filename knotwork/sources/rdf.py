@@ -13,11 +13,12 @@ from knotwork.session import scratch
 
 TRIPLES = "subj string, subj_kind string, pred string, obj string, obj_kind string, obj_datatype string, obj_lang string"
 # The form of an N-Triples line whose escaped backslashes and quotes are behind marks,
-# so that a literal is a plain run without quotes however long it is.
+# so that a literal is a plain run without quotes however long it is. The fourth group tells the kind of the object.
 NT_LINE = (
-    r'^\s*(?:<([^>]*)>|_:(\S+))\s*<([^>]*)>\s*'
+    r'^\s*(?:<([^>]*)>|_:(\S+))\s*<([^>]*)>\s*(?=(.))'
     r'(?:<([^>]*)>|_:([^\s.]+(?:\.+[^\s.]+)*)|"([^"]*)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?)\s*\.\s*(?:#.*)?$'
 )
+NT_SKIPPED = r"^\s*(#.*)?$"
 RDF_NAMESPACE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 # Escapes of N-Triples strings.
 ESCAPES = [("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ("\\'", "'"), ("\\b", "\b"), ("\\f", "\f")]
@@ -26,11 +27,27 @@ MARK = "\u0001"
 MARKED = [(MARK, f"{MARK}m"), ("\\\\", f"{MARK}b"), ('\\"', f"{MARK}q")]
 
 
+# Ends a part of a line; protected text has no such mark.
+PART_END = f"{MARK}s"
+PARTS = 9
+
+
+def _marked(text: Column) -> Column:
+    return F.contains(text, F.lit("\\")) | F.contains(text, F.lit(MARK))
+
+
 def _protect(line: Column) -> Column:
     """Escaped backslashes and quotes behind marks, so that only real quotes and escapes are left."""
+    out = line
     for found, meant in MARKED:
-        line = F.replace(line, F.lit(found), F.lit(meant))
-    return line
+        out = F.replace(out, F.lit(found), F.lit(meant))
+    return F.when(_marked(line), out).otherwise(line)
+
+
+def _parts(line: Column) -> Column:
+    """The groups of ``NT_LINE`` from one match, and what follows the last; a line that is no triple is one part."""
+    ends = "".join(f"${i}{PART_END}" for i in range(1, PARTS + 1))
+    return F.split(F.regexp_replace(_protect(line), NT_LINE, ends), PART_END)
 
 
 def _decode(text: Column) -> Column:
@@ -48,23 +65,31 @@ def _decode(text: Column) -> Column:
     out = F.when(F.contains(plain, F.lit("\\")), joined).otherwise(plain)
     for meant, mark in (('"', "q"), ("\\", "b"), (MARK, "m")):
         out = F.replace(out, F.lit(MARK + mark), F.lit(meant))
-    return out
+    return F.when(_marked(text), out).otherwise(text)
+
 
+def parse_ntriples(lines: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Triples and the lines (value) that are none; empty lines and comments are skipped. With ``strict``
+    reading the triples ends in an error at a line that is none."""
+    value = F.col("value")
+    bad = lines.filter(~value.rlike(NT_SKIPPED) & (F.size(_parts(value)) != PARTS + 1))
 
-def parse_ntriples(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Triples and the lines (value) that are none; empty lines and comments are skipped."""
-    content = lines.filter(~F.col("value").rlike(r"^\s*(#.*)?$")).withColumn("_line", _protect(F.col("value")))
-    good = content.filter(F.col("_line").rlike(NT_LINE))
-    bad = content.filter(~F.col("_line").rlike(NT_LINE)).select("value")
-    part = [F.regexp_extract("_line", NT_LINE, i) for i in range(9)]
-    literal = F.col("_line").rlike(r'^\s*(?:<[^>]*>|_:\S+)\s*<[^>]*>\s*"')
-    bnode = part[5] != ""
-    obj = F.when(literal, _decode(part[6])).when(bnode, part[5]).otherwise(_decode(part[4]))
+    def whole(parts: Column) -> Column:
+        found = F.size(parts) == PARTS + 1
+        if not strict:
+            return found
+        broken = F.raise_error(F.concat(F.lit("no triple: "), F.substring("value", 1, 200))).cast("boolean")
+        return F.when(found, True).when(value.rlike(NT_SKIPPED), False).otherwise(broken)
+
+    # A generator, so that no filter repeats the match.
+    good = lines.select(F.explode(F.filter(F.array(_parts(value)), whole)).alias("_parts"))
+    part = [F.element_at("_parts", i) for i in range(1, PARTS + 1)]
+    literal, bnode = part[3] == '"', part[3] == "_"
     triples = good.select(
-        F.when(part[2] != "", part[2]).otherwise(_decode(part[1])).alias("subj"),
-        F.when(part[2] != "", "bnode").otherwise("iri").alias("subj_kind"),
-        _decode(part[3]).alias("pred"),
-        obj.alias("obj"),
+        F.when(part[1] != "", part[1]).otherwise(_decode(part[0])).alias("subj"),
+        F.when(part[1] != "", "bnode").otherwise("iri").alias("subj_kind"),
+        _decode(part[2]).alias("pred"),
+        F.when(literal, _decode(part[6])).when(bnode, part[5]).otherwise(_decode(part[4])).alias("obj"),
         F.when(literal, "literal").when(bnode, "bnode").otherwise("iri").alias("obj_kind"),
         F.nullif(part[7], F.lit("")).alias("obj_datatype"),
         F.nullif(part[8], F.lit("")).alias("obj_lang"),
@@ -78,12 +103,7 @@ def read_ntriples(spark: SparkSession, path: str, distinct: bool = True, strict:
     With ``strict`` a line that is no triple ends the job with an error; without it such lines are
     left out and ``bad_ntriples`` lists them.
     """
-    lines = spark.read.text(path)
-    if strict:
-        known = F.col("value").rlike(r"^\s*(#.*)?$") | _protect(F.col("value")).rlike(NT_LINE)
-        broken = F.raise_error(F.concat(F.lit("no triple: "), F.substring("value", 1, 200))).cast("boolean")
-        lines = lines.filter(F.when(known, F.lit(True)).otherwise(broken))
-    triples, _ = parse_ntriples(lines)
+    triples, _ = parse_ntriples(spark.read.text(path), strict)
     return triples.dropDuplicates() if distinct else triples
 
 
