@@ -6,8 +6,10 @@ A triples table has ``subj, subj_kind, pred, obj, obj_kind``; kinds are ``iri``,
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ LOOSE_LEVELS = ["low", "med", "medium", "high"]
 CATEGORY_SUFFIXES = ["_High", "_Medium", "_Low"]
 LEVELS = ["Low", "Med", "High"]
 CATEGORIZE_ABOVE = 0.5
+# Rows of a part without repeats; parts that Spark's shuffle writes without a buffer; rows of a part once there are more.
+PART_ROWS, BUFFERLESS_PARTS, LARGE_PART_ROWS = 2**17, 200, 2**20
 SCHEMA_TRIPLES = [
     ("Patient", "subClassOf", "Entity"),
     ("Measurement", "subClassOf", "Entity"),
@@ -92,9 +96,27 @@ def literals_as_nodes(triples: DataFrame) -> DataFrame:
     return triples.select(node("subj").alias("head"), F.col("pred").alias("relation"), node("obj").alias("tail"))
 
 
-def distinct_triples(triples: DataFrame) -> DataFrame:
-    """A graph is a set."""
-    return triples.dropDuplicates()
+def _parts(rows: int) -> int:
+    """Parts of PART_ROWS rows, at most BUFFERLESS_PARTS of them up to LARGE_PART_ROWS rows in each."""
+    return max(1, min(BUFFERLESS_PARTS, math.ceil(rows / PART_ROWS)), math.ceil(rows / LARGE_PART_ROWS))
+
+
+def distinct_triples(triples: DataFrame, rows: int | None = None) -> DataFrame:
+    """A graph is a set. With ``rows``, about the number of rows before, no task holds the triples of a whole split.
+
+    ``dropDuplicates`` alone first builds a table of all triples of a split. Here repeats go batch by batch, so that
+    a triple that nearly every row brings is not dealt as often, and the rest is dealt into parts by the whole triple.
+    """
+    if rows is None:
+        return triples.dropDuplicates()
+    names = triples.columns
+
+    def work(batches):
+        for batch in batches:
+            single = pa.Table.from_batches([batch]).group_by(names, use_threads=False).aggregate([])
+            yield from single.select(names).to_batches()
+
+    return triples.mapInArrow(work, triples.schema).repartition(_parts(rows), *names).dropDuplicates()
 
 
 def _literal_token(relation: Column, text: Column) -> Column:

@@ -127,7 +127,8 @@ def _(spark, sf):
   ('Low', 'instanceOf', 'Category'), ('Med', 'instanceOf', 'Category'), ('High', 'instanceOf', 'Category')) AS s(head, relation, tail))""",
 )
 def _(spark, sf):
-    return ops.categorize(kg_triples(spark, sf), schema_relations=True).dropDuplicates()
+    kg = kg_triples(spark, sf)
+    return ops.distinct_triples(ops.categorize(kg, schema_relations=True), rows=kg.count())
 
 
 @query(
