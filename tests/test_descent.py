@@ -54,3 +54,50 @@ def test_copies_nulls_and_empty_tables(spark):
     for rows in (0, 1):
         assert descent.knn_approx(points.limit(0) if not rows else frame(spark, values[:1]), 4).collect() == []
     assert {r.dst for r in descent.knn_approx(frame(spark, values[699:701]), 4).collect()} == {0, 1}
+
+
+def test_codes_are_short_and_near(spark):
+    values = rng.normal(size=(900, 16))
+    for stretched, most in ((False, 16 + 2), (True, 16 * 8)):
+        if stretched:
+            values[0] = 1e9
+        points = frame(spark, values)
+        lists = descent._leaf_lists(points, 10, 900, 42)
+        grid = descent._grid(points)
+        rows = sorted(descent._codes(points, lists, grid).collect())
+        found = descent._decoded(descent.pa.array([bytes(r.code) for r in rows], descent.pa.binary()), grid)
+        near = {r.src: r.least for r in lists.groupBy("src").agg(F.min("distance").alias("least")).collect()}
+        error = np.linalg.norm(found - values, axis=1)
+        assert all(error[i] <= near[i] * descent.CODE_ERROR for i in near)
+        assert np.mean([len(r.code) for r in rows]) <= most
+
+
+def test_a_vector_goes_once_to_a_block(spark):
+    values = rng.normal(size=(700, 8))
+    points = descent.cut(frame(spark, values))
+    lists = descent.cut(descent._best(descent._leaf_lists(points, 10, 700, 42).withColumn("fresh", F.lit(1)), 10))
+    grid = descent._grid(points)
+    blocks = descent._leaves(points, 700, 350, 42).select("key", F.concat_ws("-", "leaf", "part").alias("block"))
+    better, around = descent._improvements(descent._codes(points, lists, grid), grid, blocks, lists, 10)
+    n_blocks = blocks.select("block").distinct().count()
+    assert n_blocks > 1 and around.select("block", "key").distinct().count() <= n_blocks * 700 < around.count()
+    edge = {r.src: r.edge for r in lists.groupBy("src").agg(F.max("distance").alias("edge")).collect()}
+    pairs = better.collect()
+    assert pairs
+    for r in pairs:
+        assert r.src != r.dst and r.distance < edge[r.src]
+        assert r.distance == pytest.approx(np.linalg.norm(values[r.src] - values[r.dst]), rel=0.1)
+
+
+def test_tight_clusters_far_apart_and_text_keys(spark):
+    centres = rng.normal(size=(6, 8)) * 1e6
+    values = np.repeat(centres, 150, axis=0) + rng.normal(size=(900, 8)) * 1e-3
+    values[0] = 1e9
+    points = frame(spark, values)
+    named = points.select(F.concat(F.lit("k"), F.col("key").cast("string")).alias("key"), "vec")
+    found = [r.asDict() for r in descent.knn_approx(named, 5).collect()]
+    assert len(found) == 4500
+    rows = [type("Row", (), {"src": int(r["src"][1:]), "dst": int(r["dst"][1:])}) for r in found if r["src"] != "k0"]
+    for row, r in zip(rows[::50], [r for r in found if r["src"] != "k0"][::50]):
+        assert r["distance"] == pytest.approx(np.linalg.norm(values[row.src] - values[row.dst]), rel=1e-6)
+    assert share(values, rows, 5) >= 0.9
