@@ -214,10 +214,16 @@ def _improvements(codes: DataFrame, grid: tuple[np.ndarray, np.ndarray], blocks:
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         keys = right.column("member").combine_chunks()
-        hubs = left.column("hub").combine_chunks().dictionary_encode().indices.to_numpy()
+        names = keys.unique()
+        owner, asked = [pc.index_in(side, value_set=names).to_numpy() for side in (keys, left.column("key").combine_chunks())]
+        # All rows of each key, should it repeat.
+        rows = np.bincount(owner, minlength=len(names))
+        first, each = (np.cumsum(rows) - rows)[asked], rows[asked]
+        at = np.repeat(np.arange(len(asked)), each)
+        places = np.argsort(owner, kind="stable")[first[at] + np.arange(len(at)) - (np.cumsum(each) - each)[at]]
+        hubs = left.column("hub").combine_chunks().dictionary_encode().indices.to_numpy()[at]
         order = np.argsort(hubs, kind="stable")
-        places = pc.index_in(left.column("key").combine_chunks(), value_set=keys).to_numpy()[order]
-        fresh = (left.column("fresh").to_numpy() > 0)[order]
+        places, fresh = places[order], (left.column("fresh").to_numpy() > 0)[at][order]
         vectors, limits = _decoded(right.column("code").combine_chunks(), grid), right.column("limit").to_numpy()
         edges = np.flatnonzero(np.r_[True, np.diff(hubs[order]) != 0, True])
         found, held = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))], 0
@@ -239,7 +245,7 @@ def _improvements(codes: DataFrame, grid: tuple[np.ndarray, np.ndarray], blocks:
 
 
 def _measured(points: DataFrame, lists: DataFrame) -> DataFrame:
-    """src, dst, distance of the listed pairs from the vectors themselves."""
+    """src, dst, distance of the listed pairs from the vectors themselves, the least if a key has several."""
 
     def work(batches):
         for batch in batches:
@@ -247,10 +253,12 @@ def _measured(points: DataFrame, lists: DataFrame) -> DataFrame:
             distance = np.sqrt((apart**2).sum(axis=1)) if len(apart) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(distance)], names=["src", "dst", "distance"])
 
-    here, there = [points.select(F.col("key").alias(end), F.col("vec").alias(f"_{end}")) for end in ("src", "dst")]
-    pairs = lists.select("src", "dst").join(there, "dst").join(here, "src").select("src", "dst", "_src", "_dst")
+    numbered = points.withColumn("row", F.monotonically_increasing_id())
+    here, there = [numbered.select(*[F.col(name).alias(new) for name, new in (("key", end), ("vec", f"_{end}"), ("row", f"_{end}_row"))]) for end in ("src", "dst")]
+    pairs = lists.select("src", "dst").join(there, "dst").join(here, "src").filter(F.col("_src_row") != F.col("_dst_row"))
     kind = points.schema["key"].dataType.simpleString()
-    return pairs.mapInArrow(work, f"src {kind}, dst {kind}, distance double")
+    measured = pairs.select("src", "dst", "_src", "_dst").mapInArrow(work, f"src {kind}, dst {kind}, distance double")
+    return measured.repartition("src").groupBy("src", "dst").agg(F.min("distance").alias("distance"))
 
 
 def knn_approx(
@@ -300,7 +308,7 @@ def knn_approx(
         fitting = BLOCK_BYTES // ((2 * held + 1) * 8 * len(grid[0]))
         block_rows = max(LEAF_ROWS, min(BLOCK_POINTS, rows // 16, fitting))
         block = F.concat_ws("-", "leaf", "part").alias("block")
-        blocks = cut(_leaves(points, rows, block_rows, seed).select("key", block))
+        blocks = cut(_leaves(points, rows, block_rows, seed).groupBy("key").agg(F.min(block).alias("block")))
         fresh = F.lit(1)
         while True:
             better, used = _improvements(codes, grid, blocks, lists.withColumn("fresh", fresh), held)

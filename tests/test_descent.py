@@ -101,3 +101,15 @@ def test_tight_clusters_far_apart_and_text_keys(spark):
     for row, r in zip(rows[::50], [r for r in found if r["src"] != "k0"][::50]):
         assert r["distance"] == pytest.approx(np.linalg.norm(values[row.src] - values[row.dst]), rel=1e-6)
     assert share(values, rows, 5) >= 0.9
+
+
+def test_repeated_keys(spark):
+    values = rng.normal(size=(900, 8))
+    points = frame(spark, values).unionByName(frame(spark, values[:300]))
+    found = descent.knn_approx(points, 5).collect()
+    assert len({(r.src, r.dst) for r in found}) == len(found) == 4500
+    # Only a key with two rows may list itself.
+    assert all(r.src < 300 and r.distance == 0 for r in found if r.src == r.dst)
+    others = [r for r in found if r.src != r.dst]
+    for r in others[::50]:
+        assert r.distance == pytest.approx(np.linalg.norm(values[r.src] - values[r.dst]))
