@@ -26,3 +26,14 @@ def test_schema_triples_deals_before_it_aggregates(spark):
     above = plan[: plan.index("REPARTITION_BY_NUM")]
     assert above.count("HashAggregate(keys=[head") == 2
     assert "HashAggregate(keys=[head" not in plan[len(above) :]
+
+
+def test_rdfxml_deals_before_it_aggregates(spark):
+    for name in ("read_rdfxml", "read_rdfxml_graph"):
+        plan = catalog.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+        above, _, below = plan.partition("REPARTITION_BY_NUM")
+
+        def whole(text):
+            return [line for line in text.splitlines() if "HashAggregate(keys=[" in line and "pred#" in line]
+
+        assert len(whole(above)) == 2 and not whole(below)
